@@ -125,3 +125,18 @@ def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def bounded_sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows, the same ones each time: those of the least hashes of ``key``. For fitting models only.
+
+    The threshold is found from hashes alone, so no text is moved that isn't in the sample.
+    """
+    h = F.xxhash64(F.col(key), F.lit("sample"))
+    top = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(h <= F.lit(top if top is not None else -(2**63))).limit(n)
+
+
+def crc_of_id(col: str = "doc_id"):
+    """crc32 of doc_id written as text."""
+    return F.crc32(F.col(col).cast("string").cast("binary"))

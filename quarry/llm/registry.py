@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import license_scan, simhash
+from quarry.llm import language_id, license_scan, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": language_id.query,
+    "op7_packing": packing.query,
     "op8_simhash": simhash.query,
     "op9_license_scan": license_scan.query,
 }
