@@ -81,7 +81,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     An empty table of links gives an empty table; loops and repeated links change nothing.
     """
     edges = scratch.save(contracted(links))  # u > v
-    size = edges.agg(F.count("*"), F.sum("u"), F.sum("v")).first()
+    mark = (F.count("*"), F.bit_xor(F.xxhash64("u", "v")))  # tells whether a step changed the links
+    size = edges.agg(*mark).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -89,7 +90,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = scratch.save(small.where("u <> v").distinct())
-        found = new.agg(F.count("*"), F.sum("u"), F.sum("v")).first()
+        found = new.agg(*mark).first()
         scratch.drop(edges)
         edges, done = new, found == size
         size = found
