@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import fingerprints, language_id, license_scan, packing, simhash
+from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_embedding_dedup": embedding_dedup.query,
     "op1_fingerprints": fingerprints.query,
     "op5_language_id": language_id.query,
     "op7_packing": packing.query,
