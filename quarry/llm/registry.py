@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, packing, simhash
+from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": pii.query,
+    "op6_toxicity": toxicity.query,
     "op10_embedding_dedup": embedding_dedup.query,
     "op1_fingerprints": fingerprints.query,
     "op5_language_id": language_id.query,
