@@ -9,9 +9,9 @@ punctuation between a phone number's digits; entities of one kind that differ ge
 part of IP numbers is permuted within valid octets, the country code of a phone number and the last label of a domain
 stay. A person keeps the title; a given name of the lists is exchanged for one of the same gender.
 
-Distinctness is checked over the whole corpus: a surrogate that is itself an entity of the corpus is enciphered again
-(up to ``ROUNDS`` times), as are surrogates that two entities share. What this finds is a small table, joined by text to
-the documents concerned; Spark broadcasts it only if its size is below the session's threshold.
+Distinctness is checked over the whole corpus: an entity whose surrogate is itself an entity of the corpus, or is
+another's surrogate, is enciphered under another key (up to ``ROUNDS`` times). What this finds is a small table, joined
+by text to the documents concerned; Spark broadcasts it only if its size is below the session's threshold.
 
 Null texts stay null, empty ones empty. Rows are treated each for itself, and all other columns stay as they are, save
 ``n_chars``, which follows the text where it is a column.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, documents
 
 KEY = "quarry"
-ROUNDS = 3
+ROUNDS = 4
 
 #: Given names by gender, titles by gender.
 FEMALE = "Anna Maria Sophie Laura Julia Emma Clara Elena Lucia Carmen Isabel Marie Camille Claire Alice Sarah Emily Jane Mary Linda Susan Karen Helen Ruth Petra Ursula Monika Sabine Ingrid Teresa".split()
@@ -161,19 +161,25 @@ def canonical(entity: Column, kind: Column) -> Column:
 
 
 def clashes(docs: DataFrame, key: str, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """(entity, other): entities whose first surrogate won't do, with the one that they get instead."""
+    """(entity, other): entities whose first surrogate won't do, with the one that they get instead.
+
+    A surrogate won't do if it is an entity of the corpus, or if another entity has it; of those that share one, the
+    first in order keeps it. The others are enciphered under another key, until all surrogates will do.
+    """
     own = entities(docs, text_col).withColumn("same", canonical(F.col("entity"), F.col("kind")))
-    table = scratch.save(own.withColumn("new", surrogate(F.col("entity"), F.col("kind"), key)).withColumn("new_same", canonical(F.col("new"), F.col("kind"))))
+    table = scratch.save(own.withColumn("first", surrogate(F.col("entity"), F.col("kind"), key)))
     taken = table.where("kind <> 'person'").select("kind", F.col("same").alias("new_same")).distinct()
-    shared = table.groupBy("kind", "new_same").agg(F.count_distinct("same").alias("n")).where("n > 1").select("kind", "new_same")
-    bad = taken.unionByName(shared).distinct()
-    out = table.join(bad, ["kind", "new_same"], "left_semi").select("entity", "kind", F.col("new").alias("other"))
-    out = scratch.save(out)
-    for _ in range(ROUNDS):  # enciphering again what lies among the entities keeps the mapping one to one
-        again = F.col("other_same").isNotNull()
-        out = out.withColumn("k", canonical(F.col("other"), F.col("kind"))).join(bad.select("kind", F.col("new_same").alias("k"), F.col("new_same").alias("other_same")), ["kind", "k"], "left")
-        out = scratch.save(out.select("entity", "kind", F.when(again, surrogate(F.col("other"), F.col("kind"), key)).otherwise(F.col("other")).alias("other")))
-    return out
+    changed = scratch.save(table.limit(0).select("entity", F.col("first").alias("other")))
+    for k in range(1, ROUNDS + 1):
+        now = table.join(changed, "entity", "left").withColumn("new_same", canonical(F.coalesce("other", "first"), F.col("kind")))
+        shared = now.groupBy("kind", "new_same").agg(F.min("same").alias("keeps"), F.max("same").alias("last")).where("keeps <> last").select("kind", "new_same", "keeps")
+        bad = now.join(taken, ["kind", "new_same"], "left_semi").select("entity", "kind")
+        bad = scratch.save(bad.unionByName(now.join(shared, ["kind", "new_same"]).where("same <> keeps").select("entity", "kind")).distinct())
+        if not bad.limit(1).count():
+            break
+        new = bad.select("entity", surrogate(F.col("entity"), F.col("kind"), f"{key}#{k}").alias("other"))
+        changed = scratch.save(changed.join(bad, "entity", "left_anti").unionByName(new))
+    return changed
 
 
 def surrogates(docs: DataFrame, key: str = KEY, scratch: Scratch | None = None, text_col: str = "text") -> DataFrame:
