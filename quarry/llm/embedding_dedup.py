@@ -30,13 +30,15 @@ from quarry.llm.components import Forest, connected_components
 
 LEAST = 0.9
 #: Vectors of a cell's block, and of a cluster shard; neighbours kept; beam.
-CELL, SHARD, DEGREE, BEAM = 3072, 384, 14, 20
+CELL, SHARD, DEGREE, BEAM = 4096, 384, 14, 20
 ALPHA = 1.2
 #: A vector is in every cell whose centroid's cosine is within this of the best, at most OVERLAP of them.
-MARGIN, OVERLAP = 0.12, 6
+MARGIN, OVERLAP = 0.1, 5
 #: Vectors that the centroids are fitted on, at most; and centroids (of 8 bytes a component: the broadcast's bound).
 SAMPLE, CENTROIDS = 20_000, 8192
 AUDIT, RECALL = 50, 0.97
+#: Pairs whose neighbours are looked at in one step.
+STEP = 20_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -87,8 +89,12 @@ def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def graph(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Adjacency (rows of neighbours, -1 beyond) united from overlapping shards, and the shards' medoids."""
+#: Where each vector's neighbours begin (one more than vectors), and all neighbours.
+Graph = tuple[np.ndarray, np.ndarray]
+
+
+def graph(x: np.ndarray, rng: np.random.Generator) -> tuple[Graph, np.ndarray]:
+    """Adjacency lists united from overlapping shards, and the shards' medoids."""
     n = len(x)
     centroids = k_means(x, max(1, -(-2 * n // SHARD)), rng)
     of = cells_of(x, centroids, 2.0, 2)
@@ -104,16 +110,20 @@ def graph(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarr
             i, j = np.nonzero(near >= 0)
             a.append(part[i]), b.append(part[near[i, j]])
     if not a:
-        return np.full((n, 1), -1), np.arange(min(n, 1))
+        return (np.zeros(n + 1, np.int64), np.zeros(0, np.int64)), np.arange(min(n, 1))
     a, b = np.concatenate([*a, *b]), np.concatenate([*b, *a])
     key = np.unique(a.astype(np.int64) * n + b)
     a, b = key // n, key % n
     a, b = a[a != b], b[a != b]
-    start = np.searchsorted(a, np.arange(n + 1))
-    # a vector that many others point to keeps all its edges, in rows of their own
-    out = np.full((n, max(1, int(np.diff(start).max(initial=1)))), -1)
-    out[a, np.arange(len(a)) - start[a]] = b
-    return out, np.unique(medoids)
+    return (np.searchsorted(a, np.arange(n + 1)), b), np.unique(medoids)
+
+
+def neighbours(adjacent: Graph, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbours of the vectors ``at``, and for each its position in ``at``."""
+    start, flat = adjacent
+    n = start[at + 1] - start[at]
+    owner = np.repeat(np.arange(len(at)), n)
+    return owner, flat[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(len(owner))]
 
 
 def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -123,7 +133,7 @@ def cosines(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, adjacent: Graph, medoids: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs with cosine LEAST or more, of those that the search meets."""
     n, rows = len(x), np.arange(len(queries))
     seen = np.zeros((len(queries), n), bool)
@@ -138,7 +148,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
     hit_q, hit_x = [], []
 
     def meet(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        new = (v >= 0) & ~seen[q, np.maximum(v, 0)]
+        new = ~seen[q, v]
         key = np.unique(q[new].astype(np.int64) * n + v[new])
         q, v = key // n, key % n
         seen[q, v] = True
@@ -156,8 +166,8 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
             break
         at = ids[active, best[active]]
         done[active, best[active]] = True
-        near = adjacent[at]
-        q, v, s = meet(np.repeat(active, near.shape[1]), near.ravel())
+        own, near = neighbours(adjacent, at)
+        q, v, s = meet(active[own], near)
         if not len(q):
             continue
         start = np.searchsorted(q, rows)
@@ -172,9 +182,9 @@ def search(x: np.ndarray, adjacent: np.ndarray, medoids: np.ndarray, queries: np
     out_q, out_v = [q], [v]
     while len(q):  # the range expands through all that is in it
         hit_q.clear(), hit_x.clear()
-        for k in range(0, len(q), 200_000):
-            near = adjacent[v[k : k + 200_000]]
-            meet(np.repeat(q[k : k + 200_000], near.shape[1]), near.ravel())
+        for k in range(0, len(q), STEP):
+            own, near = neighbours(adjacent, v[k : k + STEP])
+            meet(q[k : k + STEP][own], near)
         q, v = np.concatenate(hit_q), np.concatenate(hit_x)
         out_q.append(q), out_v.append(v)
     return queries[np.concatenate(out_q)], np.concatenate(out_v)
@@ -259,7 +269,7 @@ def linked(points: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     spark = points.sparkSession
     sample = bounded_sample(points.select("vec_id", "v"), SAMPLE, "vec_id").toArrow().sort_by("vec_id")
     x = matrix(sample)
-    centroids = k_means(unit(x / np.abs(x).max(1, keepdims=True)), min(CENTROIDS, max(1, n // 1500)), np.random.default_rng(3))
+    centroids = k_means(unit(x / np.abs(x).max(1, keepdims=True)), min(CENTROIDS, max(1, n // 500)), np.random.default_rng(3))
     rows = scratch.save(dealt(points, centroids))
     large = rows.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(F.col("count") * 2 / CELL).cast("int").alias("blocks"))  # by the centroids' bound few rows
     own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
