@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, mixing, packing, pii, simhash, toxicity
+from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, mixing, packing, pii, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substrings": substrings.query,
     "op2_mixing": mixing.query,
     "op4_pii": pii.query,
     "op6_toxicity": toxicity.query,
