@@ -6,16 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import simhash
+from quarry.llm import language_id, mixing, packing, pii, simhash
 from quarry.llm.common import Scratch
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of whose language the network is unsure, go."""
+    return language_id.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash", near_duplicates)]
-#: SQL can't express a trained model, tokenizer or code-based search; tests compare with brute force.
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets are replaced by surrogates; no document goes."""
+    return pii.replaced(docs)
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources has them: some not at all, some more than once."""
+    return mixing.resampled(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_languages),
+    ("simhash", near_duplicates),
+    ("pii", private_data),
+    ("mixing", source_weights),
+    ("packing", sequences),
+]
+#: SQL can't express the trained network, the fingerprints or the tokenizer; a test compares with the stages one by one.
 ORACLE_SQL: str | None = None
 
 
