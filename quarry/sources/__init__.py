@@ -1 +1 @@
-"""Sources of the retrieval engine."""
+"""Sources and sinks: file trees, snapshots, versioned tables."""

@@ -1,0 +1,73 @@
+"""Versioned tables: a table is a folder of Parquet versions and a pointer to the current one.
+
+A write makes a whole new version and then moves the pointer, so readers see the old table or the new one, and a
+failed write changes nothing. Merges are anti-joins and unions; there is no row-level update.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Table:
+    def __init__(self, spark: SparkSession, root: str, key: list[str], partition_by: list[str] | None = None) -> None:
+        self.spark, self.root, self.key, self.partition_by = spark, root.rstrip("/"), key, partition_by or []
+
+    def _fs(self, path: str):  # noqa: ANN202
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _current(self) -> str | None:
+        """The version that the newest pointer names. Pointers are written once each and never overwritten."""
+        fs, p = self._fs(f"{self.root}/pointers")
+        if not fs.exists(p):
+            return None
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
+        return names[-1].split("-", 1)[1] if names else None
+
+    def exists(self) -> bool:
+        return self._current() is not None
+
+    def read(self) -> DataFrame:
+        version = self._current()
+        if version is None:
+            raise FileNotFoundError(f"no version of {self.root}")
+        return self.spark.read.parquet(f"{self.root}/versions/{version}")
+
+    def replace(self, rows: DataFrame) -> None:
+        """The whole table; the sink of every other write."""
+        version, current = uuid.uuid4().hex, self._current()
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.root}/versions/{version}")
+        fs, p = self._fs(f"{self.root}/pointers")
+        n = 0
+        if current is not None:
+            n = max(int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(p)) + 1
+        # a second writer that took the same number fails here, before readers see anything of it
+        if not fs.createNewFile(self._fs(f"{self.root}/pointers/{n:012d}-{version}")[1]):
+            raise RuntimeError("another writer was first")
+
+    def upsert(self, rows: DataFrame) -> None:
+        if self.exists():
+            rows = self.read().join(rows.select(*self.key), self.key, "left_anti").unionByName(rows)
+        self.replace(rows)
+
+    def delete(self, keys: DataFrame, on: list[str] | None = None) -> None:
+        """Rows that agree with one of ``keys`` in the columns ``on``; an empty table of keys deletes nothing."""
+        on = on or self.key
+        self.replace(self.read().join(keys.select(*on).distinct(), on, "left_anti"))
+
+    def update(self, where: Column, **values: Column) -> None:
+        rows = self.read()
+        for name, value in values.items():
+            rows = rows.withColumn(name, F.when(where, value).otherwise(F.col(name)))
+        self.replace(rows)
+
+    def count(self, where: Column | None = None) -> int:
+        if not self.exists():
+            return 0
+        rows = self.read()
+        return (rows.where(where) if where is not None else rows).count()
