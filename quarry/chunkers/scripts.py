@@ -26,14 +26,13 @@ def without_meta_lines(source: str) -> str:
 
 
 def statements(source: str) -> list[tuple[list[tuple[str, int]], int, int]]:
-    """(tokens, start, end) of statements that end at a semicolon outside strings and parentheses, or with the text."""
-    out, held, depth, start = [], [], 0, 0
+    """(tokens, start, end) of statements that end at a semicolon that is a token of its own, or with the text."""
+    out, held, start = [], [], 0
     for token, at in tokens(source):
-        if token == ";" and depth <= 0:
+        if token == ";":
             out.append((held, start, at))
-            held, depth, start = [], 0, at + 1
+            held, start = [], at + 1
         else:
-            depth += (token == "(") - (token == ")")
             held.append((token, at))
     out.append((held, start, len(source)))
     return [s for s in out if any(not t.isspace() and not is_comment(t) for t, _ in s[0])]
@@ -77,7 +76,7 @@ def ctes(ws: list[str]) -> list[str]:
 def tables(ws: list[str]) -> set[str]:
     low, out = [w.lower() for w in ws], set()
     for k, w in enumerate(low[:-1]):
-        if w in ("from", "join", "into", "update", "table", "truncate") or (w == "," and False):
+        if w in ("from", "join", "into", "update", "table", "truncate"):
             j = k + 1
             while j < len(low) and low[j] in ("only", "if", "not", "exists", "table"):
                 j += 1

@@ -16,13 +16,26 @@ TIER_DIRECTORIES = {"pip": ["pip-packages", "apt-packages"]}
 
 def read_tree(spark: SparkSession, root: str, tier: str, exclude_dirs: tuple[str, ...] = ()) -> DataFrame:
     """(tier, file_path, content, mtime_ns, size) of all files below ``root``, one row a file, read by executors."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     base = os.path.realpath(root).rstrip("/") + "/"
     path = F.regexp_replace(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")), "^file:/*", "/")
     rows = files.select(F.lit(tier).alias("tier"), F.replace(path, F.lit(base), F.lit("")).alias("file_path"), F.col("value").alias("content"), (F.unix_micros("_metadata.file_modification_time") * 1000).alias("mtime_ns"), F.col("_metadata.file_size").alias("size"))
+    rows = rows.unionByName(empty_files(spark, root, base, tier))
     return rows.where(~in_excluded_directory(F.col("file_path"), exclude_dirs))
 
 
+def empty_files(spark: SparkSession, root: str, base: str, tier: str) -> DataFrame:
+    """Files without content, which Spark's readers leave out: from the driver's listing, as Spark's own is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            found.append((tier, f.getPath().toUri().getPath().removeprefix(base), "", f.getModificationTime() * 1_000_000, 0))
+    return spark.createDataFrame(found, "tier string, file_path string, content string, mtime_ns long, size long")
+
+
 def in_excluded_directory(path: Column, names: tuple[str, ...]) -> Column:
     """Whether a directory of the path, at any depth, has one of the names."""
     return F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.lit(list(names)).cast("array<string>")) if names else F.lit(False)

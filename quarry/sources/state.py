@@ -6,10 +6,12 @@ failed write changes nothing. Merges are anti-joins and unions; there is no row-
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class Table:
@@ -35,13 +37,21 @@ class Table:
         version = self._current()
         if version is None:
             raise FileNotFoundError(f"no version of {self.root}")
-        return self.spark.read.parquet(f"{self.root}/versions/{version}")
+        fs, p = self._fs(f"{self.root}/versions/{version}/_schema")  # a version without rows may have no other file
+        stream = fs.open(p)
+        schema = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.root}/versions/{version}")
 
     def replace(self, rows: DataFrame) -> None:
         """The whole table; the sink of every other write."""
         version, current = uuid.uuid4().hex, self._current()
         writer = rows.write.mode("errorifexists")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.root}/versions/{version}")
+        fs, p = self._fs(f"{self.root}/versions/{version}/_schema")
+        stream = fs.create(p)
+        stream.write(rows.schema.json().encode())
+        stream.close()
         fs, p = self._fs(f"{self.root}/pointers")
         n = 0
         if current is not None:
