@@ -303,7 +303,7 @@ def repeated_strings(table: pa.Table, length: int = LENGTH) -> pa.Table:
     return pa.table([table.column(c).combine_chunks().take(pa.array(some)) for c in ("pid", "id", "hot")] + [pa.array(mask[some])], names=["pid", "id", "hot", "mask"])
 
 
-RESULT = "digest string, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "digest string, least long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def final_rows(block: Block, told: np.ndarray, found: pa.Table) -> pa.Table:
@@ -337,11 +337,16 @@ def final_rows(block: Block, told: np.ndarray, found: pa.Table) -> pa.Table:
         mine = removed[block.offsets[k] : block.offsets[k + 1]]
         if mine.any():
             kept = block.data[block.offsets[k] : block.offsets[k + 1]][~mine].tobytes()
-            rows.append((block.digests[k].hex(), int(mine.sum()), int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+            rows.append((block.digests[k].hex(), int(block.docs[k]), int(mine.sum()), int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
         else:
-            rows.append((block.digests[k].hex(), 0, 0, hashlib.sha256(text).hexdigest()))
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["digest", "n_removed", "n_spans", "kept_sha256"])
+            rows.append((block.digests[k].hex(), int(block.docs[k]), 0, 0, hashlib.sha256(text).hexdigest()))
+    return result_table(rows)
+
+
+def result_table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["digest", "least", "n_removed", "n_spans", "kept_sha256"])
 
 
 def distinct_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +402,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.string())], names=["digest", "n_removed", "n_spans", "kept_sha256"])
+            return result_table([])
         is_verdict = told.column("raw").is_valid()
         block, flags = rebuilt(table, told.filter(is_verdict))
         return final_rows(block, flags, told.filter(pa.compute.invert(is_verdict)))
@@ -410,8 +415,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     told = told.unionByName(found.select("pid", F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("raw"), "id", "hot", "mask"))
     left = texts.groupBy("pid").cogroup(told.groupBy("pid")).applyInArrow(finish, RESULT)
     small = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("digest"), F.when(F.octet_length("text") < LENGTH, F.sha2(F.col("text").cast("binary"), 256)).alias("own"))
-    least = small.groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least"))
-    left = left.join(least, "digest")
     out = small.join(left, "digest", "left")
     copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("least")) & (F.col("n_bytes") >= LENGTH)
     return out.select(
