@@ -40,7 +40,7 @@ from quarry.llm.common import byte_codes, column, documents, groups_of, id_and_t
 
 LENGTH = 50
 Q = 20
-BLOCK = 4_000_000
+BLOCK = 2_500_000
 HOT = 4000
 LAST = 2**63 - 1
 #: Classes of a block that one packed row holds at least, on average.
