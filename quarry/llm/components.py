@@ -85,13 +85,15 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     size = edges.agg(*mark).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written, not kept in the join's stage: only then can Spark split a node with very many links
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = scratch.save(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = scratch.save(small.where("u <> v").distinct())
         found = new.agg(*mark).first()
-        scratch.drop(edges)
+        for table in (edges, least, large, down):
+            scratch.drop(table)
         edges, done = new, found == size
         size = found
         if done:
