@@ -352,9 +352,7 @@ def event_operations(spark, d):
 
 @register("redact_labels", "SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\bbearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer ***', 'g'), '(?i)\\b(api[_-]?key|token|secret|password)\\b(\\s*[:=]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;]+)', '\\1\\2***', 'g') AS text FROM documents")
 def redact_labels(spark, d):
-    rows = t.read(spark, d, "documents")
-    first = F.regexp_replace(F.col("text"), text.BEARER, f"Bearer {text.MASK}")
-    return rows.select("doc_id", F.regexp_replace(first, text.LABELLED, f"$1$2{text.MASK}").alias("text"))
+    return t.read(spark, d, "documents").select("doc_id", text.without_labels(F.col("text")).alias("text"))
 
 
 @register("redact")
