@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from quarry.functions.vectors import cosine
 from quarry.operators.manifest import flag_stale
 
 BOOST = 10.0
+#: Queries of a batch, at most, and rows that are compared with them at once.
+QUERIES, BLOCK = 100_000, 4096
 SUMMARY = ["imports", "class", "markdown_section", "xml_element"]
 
 
@@ -35,13 +40,44 @@ def top_k(points: DataFrame, query: list[float], k: int, filters: dict[str, obje
 
 
 def batch_top_k(points: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "point_id", vector: str = "vector") -> DataFrame:
-    """(query_id, rank, key, score). The queries are a literal, so their number is bounded by the caller; the rank
-    filter is applied within each task before rows are shuffled.
+    """(query_id, rank, key, score): the k nearest of each query, ties by key.
+
+    The stated queries (QUERIES at most) go to every task, which compares its rows with them in blocks of BLOCK and
+    passes on k rows a query; so what is shuffled doesn't grow with the points of a task. Null, zero and differently
+    sized vectors are near to nothing.
     """
-    several = F.array(*(F.struct(F.lit(q).alias("query_id"), cosine(F.col(vector), F.lit([float(x) for x in v])).alias("score")) for q, v in queries))
-    rows = points.select(key, F.explode(several).alias("q")).select("q.query_id", key, "q.score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), key))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    if len(queries) > QUERIES:
+        raise ValueError(f"at most {QUERIES} queries at once")
+    if not queries:
+        return points.limit(0).select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    ids = np.array([q for q, _ in queries], np.int64)
+    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    rows = points.where(F.size(vector) == matrix.shape[1]).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, scores = [np.zeros(0, object)] * len(ids), [np.zeros(0)] * len(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                size = np.linalg.norm(x, axis=1)
+                own, x = np.array(part.column(0).to_pylist(), object)[size > 0], x[size > 0] / size[size > 0, None]
+                for q, score in enumerate(matrix @ x.T):
+                    near = np.argpartition(-score, k - 1)[:k] if len(score) > k else np.arange(len(score))
+                    near = np.flatnonzero(score >= score[near].min()) if len(near) else near  # with all that tie
+                    both, own_keys = np.concatenate([scores[q], score[near]]), np.concatenate([keys[q], own[near]])
+                    best = sorted(range(len(both)), key=lambda i: (-both[i], own_keys[i]))[:k]  # noqa: B023
+                    scores[q], keys[q] = both[best], own_keys[best]
+        n = [len(s) for s in scores]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(keys).tolist(), kind), pa.array(np.concatenate(scores))], names=["query_id", key, "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(points.schema[key].dataType)
+    near = rows.mapInArrow(run, f"query_id long, {key} {points.schema[key].dataType.simpleString()}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def boosted(hits: DataFrame, refs: DataFrame, key: str = "point_id") -> DataFrame:

@@ -126,9 +126,9 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"), rank.alias("rank"))
 
 
-@register("batch_topk", f"SELECT * FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 5")
+@register("batch_topk", f"SELECT * FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 5")
 def batch_topk(spark, d):
-    rows = search.batch_top_k(t.vectors(spark, d), t.first_vectors(spark, d, 5), 5)
+    rows = search.batch_top_k(t.vectors(spark, d), t.query_vectors(spark, d), 5)
     return rows.select("query_id", F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -325,7 +325,7 @@ def memory_restore(spark, d):
 @register("memory_recall")
 def memory_recall(spark, d):
     points = memory.embedded(memory.saved(t.notes(spark, d)), 32)
-    rows = t.read(spark, d, "benchmark").where("item_id < 5").select("item_id", vectors.hash_embedding(F.col("text"), 32).alias("v")).collect()
+    rows = t.read(spark, d, "benchmark").select("item_id", vectors.hash_embedding(F.col("text"), 32).alias("v")).collect()
     return memory.recall(points, [(r["item_id"], r["v"]) for r in rows], 5)
 
 
