@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, mixing, packing, pii, simhash, substrings, toxicity
+from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, mixing, oracles, packing, pii, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": substrings.query,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": license_scan.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_substrings": oracles.SUBSTRINGS}
