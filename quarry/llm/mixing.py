@@ -19,6 +19,7 @@ An empty table, or one without tokens, gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,43 +28,48 @@ from quarry.llm.common import Scratch, documents
 
 #: Target entropy as a part of the largest possible one; how often a source may be repeated; key of the permutations.
 ENTROPY, REPEATS, SEED = 0.985, 4.0, "mix"
-GRID = 32
-ROUNDS = 5
+#: Exponents are multiples of 1 / STEPS; so many are evaluated at once.
+STEPS, GRID = 1_000_000, 32
 
 
 def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit("[^ \t\n\x0b\x0c\r]+")), F.lit(0)).cast("long")
+
+
+def digest_of(text: Column) -> Column:
+    """Texts are told apart by it; a null text counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
 def order_of(seed: str, block: Column) -> Column:
     """The permutation of a block: documents in order of this hash."""
-    return F.md5(F.concat_ws(":", F.lit(seed), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest").cast("string")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")).cast("binary"))
 
 
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, source, digest, n_rows, n_tokens): rows that agree in the first three are one."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("digest"), n_tokens(F.col("text")).alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), digest_of(F.col("text")).alias("digest"), n_tokens(F.col("text")).alias("n"))
     return rows.groupBy("doc_id", "source", "digest").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_tokens"))
 
 
-def evaluated(shares: DataFrame, alphas: list[float], budget: float) -> dict[float, tuple[float, float]]:
-    """For each exponent the entropy of the weights and the largest repetition."""
-    w = F.exp(F.col("alpha") * F.ln("share"))
-    grid = shares.select("share", "tokens", F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
-    rows = grid.groupBy("alpha").agg(F.sum(w).alias("z"), F.sum(w * F.ln("share")).alias("m"), F.max(w / F.col("tokens")).alias("r")).collect()
-    return {r["alpha"]: (math.log(r["z"]) - r["alpha"] * r["m"] / r["z"], budget * r["r"] / r["z"]) for r in rows}
+def evaluated(shares: DataFrame, steps: list[int], budget: float) -> dict[int, tuple[float, float]]:
+    """For each exponent (in steps) the entropy of the weights and the largest repetition."""
+    w = F.exp(F.col("step") / STEPS * F.ln("share"))
+    grid = shares.select("share", "tokens", F.explode(F.array(*map(F.lit, steps))).alias("step"))
+    rows = grid.groupBy("step").agg(F.sum(w).alias("z"), F.sum(w * F.ln("share")).alias("m"), F.max(w / F.col("tokens")).alias("r")).collect()
+    return {r["step"]: (math.log(r["z"]) - r["step"] / STEPS * r["m"] / r["z"], budget * r["r"] / r["z"]) for r in rows}
 
 
-def bisected(shares: DataFrame, budget: float, holds, grid: int = GRID) -> tuple[float, float]:  # noqa: ANN001
-    """(last exponent at which ``holds``, first at which it doesn't), found between 0 and 1; holds(0) is taken as given."""
-    lo, hi = 0.0, 1.0
-    for _ in range(ROUNDS):
-        alphas = [lo + (hi - lo) * k / grid for k in range(grid + 1)]
-        ok = {a: holds(*v) for a, v in evaluated(shares, alphas, budget).items()}
-        first = next((a for a in alphas[1:] if not ok[a]), None)
+def bisected(shares: DataFrame, budget: float, holds: Callable[[float, float], bool]) -> tuple[int, int]:
+    """(last step at which ``holds``, first at which it doesn't); it is taken to hold at 0, and to do so up to one step."""
+    lo, hi = 0, STEPS
+    while hi - lo > 1 or hi == STEPS:
+        steps = sorted({lo + (hi - lo) * k // GRID for k in range(1, GRID + 1)} - {lo})
+        ok = {a: holds(*v) for a, v in evaluated(shares, steps, budget).items()}
+        first = next((a for a in steps if not ok[a]), None)
         if first is None:
             return hi, hi
-        lo, hi = alphas[alphas.index(first) - 1], first
+        lo, hi = max([lo, *(a for a in steps if a < first)]), first
     return lo, hi
 
 
@@ -79,11 +85,11 @@ def plan(unit: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     shares = sources.withColumn("share", F.col("tokens") / F.lit(total))
     least = entropy * math.log(found["n"])
     upper, _ = bisected(shares, goal, lambda h, r: h >= least - 1e-12)
-    _, lower = bisected(shares, goal, lambda h, r: r > repeats + 1e-9) if evaluated(shares, [0.0], goal)[0.0][1] > repeats else (0.0, 0.0)
-    alpha = round(max(upper, lower), 6)
+    _, lower = bisected(shares, goal, lambda h, r: r > repeats + 1e-9) if evaluated(shares, [0], goal)[0][1] > repeats + 1e-9 else (0, 0)
+    alpha = max(upper, lower) / STEPS
     z = evaluated_z(shares, alpha)
     weight = F.exp(F.lit(alpha) * F.ln("share")) / F.lit(z)
-    out = shares.select("source", F.col("tokens").alias("total"), F.floor(weight * F.lit(goal)).alias("goal"))
+    out = shares.select("source", F.col("tokens").alias("total"), F.floor(weight * F.lit(goal) + F.lit(1e-6)).alias("goal"))
     return out.select("source", "total", F.floor(F.col("goal") / F.col("total")).cast("long").alias("blocks"), (F.col("goal") % F.col("total")).cast("double").alias("rest")), alpha
 
 
@@ -132,10 +138,10 @@ def resampled(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     taken = mixed(unit, sources, unit.count(), seed)
     last = sources.join(taken.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "h"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("blocks")), "left")
     cut = scratch.save(last.groupBy("source", "blocks").agg(F.max("h").alias("cut")).select(F.col("source").alias("_source"), "blocks", "cut"))
-    rows = docs.withColumn("digest", F.xxhash64(F.col("text").cast("string"))) if "digest" not in docs.columns else None
+    rows = docs.withColumn("digest", digest_of(F.col("text"))) if "digest" not in docs.columns else None
     if rows is None:  # a column of that name is kept under another while the hash is taken
         kept = docs.withColumnRenamed("digest", "_own_digest")
-        rows = kept.withColumn("digest", F.xxhash64(F.col("text").cast("string")))
+        rows = kept.withColumn("digest", digest_of(F.col("text")))
     rows = rows.join(cut, F.col("source").cast("string").eqNullSafe(F.col("_source")))
     copies = F.col("blocks") + F.when(order_of(seed, F.col("blocks")) <= F.col("cut"), 1).otherwise(0)
     rows = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))

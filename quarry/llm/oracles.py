@@ -16,3 +16,19 @@ SELECT doc_id, octet_length(t)::bigint AS n_bytes, coalesce(n_removed, 0)::bigin
   sha256(CASE WHEN last IS NULL THEN t WHEN last < octet_length(t) THEN from_hex(kept || hex(t[last + 1:octet_length(t)])) ELSE from_hex(kept) END) AS kept_sha256
 FROM d LEFT JOIN left_ USING (doc_id)
 """
+
+#: Shares, all exponents in steps of a millionth, the mix's exponent, each source's blocks, the rows within the budget.
+MIXING = """
+WITH unit AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, count(*) AS n_rows, sum(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\x0c\\r]+')))::bigint AS n_tokens FROM documents GROUP BY ALL),
+  sources AS (SELECT source, sum(n_tokens)::double AS tokens FROM unit GROUP BY source HAVING sum(n_tokens) > 0),
+  total AS (SELECT sum(tokens) AS t, count(*) AS n FROM sources),
+  shares AS (SELECT source, tokens, tokens / t AS share FROM sources, total),
+  grid AS (SELECT k, ln(sum(w)) - k / 1e6 * sum(w * ln(share)) / sum(w) AS entropy, any_value(t) * max(w / tokens) / sum(w) AS repeats
+    FROM (SELECT k, share, tokens, t, exp(k / 1e6 * ln(share)) AS w FROM shares, total, range(1000001) r(k)) GROUP BY k),
+  alpha AS (SELECT greatest((SELECT max(k) FROM grid, total WHERE entropy >= 0.985 * ln(n) - 1e-12), (SELECT coalesce(min(k), 0) FROM grid WHERE repeats <= 4 + 1e-9)) / 1e6 AS a),
+  goal AS (SELECT source, tokens AS total, floor(exp(a * ln(share)) / (SELECT sum(exp(a * ln(share))) FROM shares) * t + 1e-6)::bigint AS goal FROM shares, alpha, total),
+  plan AS (SELECT source, total, goal // total::bigint AS blocks, goal % total::bigint AS rest, goal FROM goal),
+  rows_ AS (SELECT u.*, p.*, b, md5('mix:' || b || ':' || coalesce(doc_id::varchar, '') || ':' || digest) AS h FROM unit u JOIN plan p ON u.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(p.blocks + 1)) AS b)),
+  placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, b ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM rows_)
+SELECT doc_id, source, n_tokens, b AS block, round((b * total + upto - n_tokens) / goal, 9) AS at FROM placed WHERE b < blocks OR upto <= rest
+"""

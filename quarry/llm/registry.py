@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": license_scan.query,
 }
 
-SQL: dict[str, str] = {"op3_substrings": oracles.SUBSTRINGS}
+SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substrings": oracles.SUBSTRINGS}

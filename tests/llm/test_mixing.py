@@ -22,7 +22,7 @@ def slow(unit, alpha, budget):
         tokens[u.source] += u.n_tokens
     tokens = {s: t for s, t in tokens.items() if t}
     total = sum(tokens.values())
-    goal = {s: math.floor(w * budget) for s, w in weights({s: t / total for s, t in tokens.items()}, alpha).items()}
+    goal = {s: math.floor(w * budget + 1e-6) for s, w in weights({s: t / total for s, t in tokens.items()}, alpha).items()}
     out = []
     for s, t in tokens.items():
         own = [u for u in unit if u.source == s]
