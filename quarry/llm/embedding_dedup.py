@@ -1,12 +1,15 @@
 """Embedding near-dedup by robust-pruned flat graphs.
 
-Vectors are dealt to the cells of a few centroids, each to every cell nearly as close as the closest, so cells overlap.
-In a cell, again, small overlapping cluster shards are formed; in each the nearest neighbours of a vector are pruned
+Vectors are dealt to the cells of a few centroids, each to every cell nearly as close as the closest, so cells overlap;
+for the choice of cells the sample's mean is taken off, which spreads vectors that lie in a cone. A pair without a common
+cell would not be compared, so the cells are audited first: about every ``AUDIT``-th vector (of few vectors, a thousand)
+is compared with all, and the first of ``SPREADS`` is taken by which the share of linked pairs with a common cell is
+``COVER``, over the pairs and in the mean over vectors; if none is wide enough, all vectors are one cell. In a cell, again, small overlapping cluster shards are formed; in each the nearest neighbours of a vector are pruned
 robustly (a neighbour is dropped if one already taken is closer to it, by the factor ``ALPHA``, than the vector is);
 the shards' adjacency lists are united with their reverse. Each vector is then searched for, greedily from the shards'
 medoids with a beam, and the search goes on through all that lies in range until nothing new is in range. Every pair
 reported is verified in double precision. The search of every ``AUDIT``-th vector is audited by brute force; below the
-recall ``RECALL`` it is repeated with a beam twice as wide, at last as wide as the cell.
+recall ``RECALL`` it is repeated with a beam twice as wide, at last as wide as the cell; then all pairs are compared.
 
 A pair is counted in the first cell that both vectors share. A cell of more than ``CELL`` vectors is split into blocks,
 and each pair of blocks is a group of its own: none is capped. Equal vectors are one point with a multiplicity.
@@ -32,11 +35,13 @@ LEAST = 0.9
 #: Vectors of a cell's block, and of a cluster shard; neighbours kept; beam.
 CELL, SHARD, DEGREE, BEAM = 4096, 384, 14, 20
 ALPHA = 1.2
-#: A vector is in every cell whose centroid's cosine is within this of the best, at most OVERLAP of them.
-MARGIN, OVERLAP = 0.1, 5
+#: (margin, overlap): a vector is in every cell whose centroid's cosine is within the margin of the best, at most overlap of them.
+SPREADS = ((0.1, 5), (0.2, 10), (0.3, 20), (0.5, 40))
 #: Vectors that the centroids are fitted on, at most; and centroids (of 8 bytes a component: the broadcast's bound).
 SAMPLE, CENTROIDS = 20_000, 8192
-AUDIT, RECALL = 50, 0.97
+AUDIT, RECALL, COVER = 50, 0.97, 0.99
+#: Components of the vectors that one pass of the cells' audit compares with all.
+PROBED = 1_000_000
 #: Pairs whose neighbours are looked at in one step.
 STEP = 20_000
 
@@ -209,8 +214,11 @@ def pairs_in_range(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
             want += len(near)
             real += len(np.intersect1d(np.minimum(near, k) * np.int64(n) + np.maximum(near, k), key))
         recall = real / want if want else 1.0
-        if recall >= RECALL or beam >= n:
+        if recall >= RECALL:
             return i, j, recall
+        if beam >= n:
+            hits = [np.nonzero(np.triu(x[k : k + 1024] @ x.T >= LEAST, k + 1)) for k in range(0, n, 1024)]
+            return np.concatenate([h[0] + 1024 * k for k, h in enumerate(hits)]), np.concatenate([h[1] for h in hits]), 1.0
         beam = min(n, 2 * beam)
 
 
@@ -237,23 +245,28 @@ def matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def dealt(points: DataFrame, centroids: np.ndarray) -> DataFrame:
+def normed(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    x = matrix(batch)
+    return unit(x / np.abs(x).max(1, keepdims=True))
+
+
+def dealt(points: DataFrame, mean: np.ndarray, centroids: np.ndarray, margin: float, overlap: int) -> DataFrame:
     """(cell, cells, vec_id, mult, v): each point in each of its cells; v of unit length."""
-    held = points.sparkSession.sparkContext.broadcast(centroids)
+    held = points.sparkSession.sparkContext.broadcast((mean, centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, centroids = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch)
-            x = unit(x / np.abs(x).max(1, keepdims=True))
-            cells = np.concatenate([cells_of(x[k : k + 2048], held.value, MARGIN, OVERLAP) for k in range(0, len(x), 2048)])
+            x = normed(batch)
+            cells = np.concatenate([cells_of(unit(x[k : k + 2048] - mean), centroids, margin, overlap) for k in range(0, len(x), 2048)])
             i, j = np.nonzero(cells >= 0)
             n, d = len(i), x.shape[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(cells[i, j].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * OVERLAP), pa.array(cells[i].astype(np.int32).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * overlap), pa.array(cells[i].astype(np.int32).ravel())),
                     column(batch, "vec_id").take(pa.array(i)),
                     column(batch, "mult").take(pa.array(i)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(x[i].ravel())),
@@ -264,13 +277,65 @@ def dealt(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return points.mapInArrow(run, "cell int, cells array<int>, vec_id long, mult long, v array<double>")
 
 
+def covers(points: DataFrame, n: int, mean: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """For each of SPREADS the audited share of linked pairs that have a common cell."""
+    spark, d = points.sparkSession, len(mean)
+    probes = points.where(F.pmod(F.xxhash64("vec_id", F.lit("audit")), F.lit(max(1, min(AUDIT, n // 1000)))) == 0).select("vec_id", "v")
+    passes = -(-probes.count() * d // PROBED)
+    total = np.zeros(2 + 2 * len(SPREADS))
+    for k in range(passes):
+        block = probes.where(F.pmod(F.xxhash64("vec_id", F.lit("pass")), F.lit(passes)) == k).toArrow()
+        if not block.num_rows:
+            continue
+        held = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), normed(block), mean, centroids))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, probe, mean, centroids = held.value
+            in_cells = [cells_of(unit(probe - mean), centroids, *spread) for spread in SPREADS]
+            want, met = np.zeros(len(ids), np.int64), np.zeros((len(SPREADS), len(ids)), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = column(batch, "vec_id").to_numpy(), normed(batch)
+                for at in range(0, len(x), 512):
+                    part = x[at : at + 512]
+                    i, j = np.nonzero(part @ probe.T >= LEAST)
+                    other = own[at + i] != ids[j]
+                    i, j = i[other], j[other]
+                    want += np.bincount(j, minlength=len(ids))
+                    for m, spread in enumerate(SPREADS):  # pairs with a common cell have one in all wider spreads
+                        if not len(i):
+                            break
+                        cells = cells_of(unit(part - mean), centroids, *spread)
+                        none = np.concatenate([first_shared(cells[i[c : c + 50_000]], in_cells[m][j[c : c + 50_000]]) == np.iinfo(np.int64).max for c in range(0, len(i), 50_000)])
+                        met[m:] += np.bincount(j[~none], minlength=len(ids))
+                        i, j = i[none], j[none]
+            some = np.flatnonzero(want)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(want[some]), *(pa.array(m[some]) for m in met)], names=["p", "want", *(f"m{m}" for m in range(len(met)))])
+
+        names = [f"m{m}" for m in range(len(SPREADS))]
+        seen = points.mapInArrow(run, "p long, want long, " + ", ".join(f"{m} long" for m in names)).groupBy("p").agg(*(F.sum(c).alias(c) for c in ("want", *names)))
+        sums = seen.agg(F.count("*"), F.sum("want"), *(F.sum(m) for m in names), *(F.sum(F.col(m) / F.col("want")) for m in names)).first()
+        total += np.array([float(v or 0) for v in sums])
+        held.destroy()
+    if not total[0]:
+        return [1.0] * len(SPREADS)
+    s = len(SPREADS)
+    return [float(min(total[2 + m] / total[1], total[2 + s + m] / total[0])) for m in range(s)]
+
+
 def linked(points: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """Rows (u, n, null): n links of point u found in one group; and (u, null, v): a link that joins two trees."""
     spark = points.sparkSession
     sample = bounded_sample(points.select("vec_id", "v"), SAMPLE, "vec_id").toArrow().sort_by("vec_id")
-    x = matrix(sample)
-    centroids = k_means(unit(x / np.abs(x).max(1, keepdims=True)), min(CENTROIDS, max(1, n // 500)), np.random.default_rng(3))
-    rows = scratch.save(dealt(points, centroids))
+    x = normed(sample)
+    mean = x.mean(0)
+    centroids = k_means(unit(x - mean), min(CENTROIDS, max(1, n // 500)), np.random.default_rng(3))
+    found = covers(points, n, mean, centroids) if len(centroids) > 1 else [1.0]
+    margin, overlap = next((spread for spread, share in zip(SPREADS, found, strict=False) if share >= COVER), (2.0, 1))
+    if overlap == 1:
+        centroids = centroids[:1]
+    rows = scratch.save(dealt(points, mean, centroids, margin, overlap))
     large = rows.groupBy("cell").count().where(F.col("count") > CELL).select("cell", F.ceil(F.col("count") * 2 / CELL).cast("int").alias("blocks"))  # by the centroids' bound few rows
     own = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     pair = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
@@ -286,7 +351,7 @@ def linked(points: DataFrame, n: int, scratch: Scratch) -> DataFrame:
                 part = table.slice(lo, hi - lo)
                 ids, mult = part.column("vec_id").to_numpy(), part.column("mult").to_numpy()
                 i, j, _ = pairs_in_range(matrix(part.combine_chunks()), ids)
-                cells = part.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, OVERLAP)
+                cells = part.column("cells").combine_chunks().flatten().to_numpy().reshape(-1, overlap)
                 block = part.column("block").to_numpy()
                 mine = first_shared(cells[i], cells[j]) == part.column("cell")[0].as_py()
                 if part.column("a")[0].as_py() != part.column("b")[0].as_py():

@@ -54,3 +54,27 @@ def test_edges(spark):
     want = [(5, 2, 5, True), (7, 2, 5, False), (9, 2, 5, False), (9, 2, 5, False), *((k, 0, k, True) for k in (1, 2, 3, 4, 6, 8, 10)), (None, 0, None, False), (11, 1, 11, True), (12, 1, 11, False)]
     assert got == sorted(want, key=str)
     assert ed.embedding_components(df.limit(0)).count() == 0
+
+
+def test_pairs_in_a_cone_share_a_cell(spark, monkeypatch):
+    """Pairs at cosine 0.91 among vectors of mean cosine 0.7, with as many cells as a large table has."""
+    rng, fit = np.random.default_rng(5), ed.k_means
+    monkeypatch.setattr(ed, "k_means", lambda x, k, rng: fit(x, 200 if k == 16 else k, rng))
+    x = ed.unit(np.sqrt(0.7) * np.eye(64)[0] + np.sqrt(0.3) * ed.unit(rng.standard_normal((8000, 64))))
+    side = rng.standard_normal((4000, 64))
+    side = ed.unit(side - np.einsum("ij,ij->i", side, x[:4000])[:, None] * x[:4000])
+    cone = ed.unit(np.eye(64)[0] - x[:4000] * x[:4000, :1])
+    side = ed.unit(0.4 * cone + side)
+    side = ed.unit(side - np.einsum("ij,ij->i", side, x[:4000])[:, None] * x[:4000])
+    x[4000:] = 0.91 * x[:4000] + np.sqrt(1 - 0.91**2) * side
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    n = brute(np.arange(len(x)), x)[0].sum()
+    mine = sum(r.n_links for r in ed.embedding_components(df).collect())
+    assert n >= 8000 and 0.97 * n <= mine <= n, (mine, n)
+
+
+def test_a_group_below_its_recall_is_compared_whole(monkeypatch):
+    x = ed.unit(clustered(n=600).astype(np.float64))
+    monkeypatch.setattr(ed, "search", lambda x, adjacent, medoids, queries, beam: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    i, j, recall = ed.pairs_in_range(x, np.arange(len(x)))
+    assert recall == 1 and len(i) == brute(np.arange(len(x)), x)[0].sum() / 2 and (i < j).all()
