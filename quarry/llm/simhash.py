@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import Scratch, column, documents, groups_of, id_and_text, small_batches
 from quarry.llm.components import Forest, connected_components
@@ -165,10 +166,9 @@ def links(points: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     return dealt.repartition(n, "g").sortWithinPartitions("g").mapInArrow(run, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``docs``."""
+def components_by_value(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all rows, and (fp, root, component_id) of all fingerprints."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "simhash")
     rows = scratch.save(fingerprints(docs))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     points = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -181,16 +181,49 @@ def simhash_components(docs: DataFrame, scratch: Scratch | None = None, block: i
     root = points.join(joined, points.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     root = scratch.save(root)
     ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = root.join(ids, "root").select("fp", "component_id")
+    return rows, root.join(ids, "root").select("fp", "root", "component_id")
+
+
+def selected(rows: DataFrame, by_fp: DataFrame) -> DataFrame:
     return rows.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def simhash_components(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``docs``."""
+    return selected(*components_by_value(docs, scratch or Scratch(docs.sparkSession, "simhash"), block))
+
+
+def with_fingerprint(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``_fp``."""
+    small_batches(docs.sparkSession)
+    rows = docs.withColumn("_fp", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in column(batch, "_fp").cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=batch.schema.names)
+
+    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+
+
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's id: one document of each group (of repeated rows, all)."""
-    found = simhash_components(docs, scratch).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One document of each group: the rows whose doc_id is the component's id (of repeated rows, all).
+
+    Of a group without any doc_id one row stays, that with the least hash; a row without doc_id goes if it is in a group
+    with one.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
+    rows, by_fp = components_by_value(docs, scratch)
+    found = selected(rows, by_fp).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
+    nameless = docs.where(F.col("doc_id").cast("long").isNull())
+    if not nameless.limit(1).count():
+        return kept
+    alone = by_fp.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
+    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    return kept.unionByName(with_fingerprint(nameless).join(alone, "_fp").groupBy("_root").agg(one).select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
