@@ -10,7 +10,9 @@ part of IP numbers is permuted within valid octets, the country code of a phone
 stay. A person keeps the title; a given name of the lists is exchanged for one of the same gender.
 
 Distinctness is checked over the whole corpus: an entity whose surrogate is itself an entity of the corpus, or is
-another's surrogate, is enciphered under another key (up to ``ROUNDS`` times). What this finds is a small table, joined
+another's surrogate, is enciphered under another key; if after ``ROUNDS`` times some still clash, an error is raised. A
+person's surrogate may be another person's name, but not its own. Letters outside the alphabets are shifted within those
+of their script and category. What this finds is a small table, joined
 by text to the documents concerned; Spark broadcasts it only if its size is below the session's threshold.
 
 Null texts stay null, empty ones empty. Rows are treated each for itself, and all other columns stay as they are, save
@@ -20,6 +22,7 @@ Null texts stay null, empty ones empty. Rows are treated each for itself, and al
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, documents
 
 KEY = "quarry"
-ROUNDS = 4
+ROUNDS = 40
 
 #: Given names by gender, titles by gender.
 FEMALE = "Anna Maria Sophie Laura Julia Emma Clara Elena Lucia Carmen Isabel Marie Camille Claire Alice Sarah Emily Jane Mary Linda Susan Karen Helen Ruth Petra Ursula Monika Sabine Ingrid Teresa".split()
@@ -37,7 +40,7 @@ TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame".split
 _GAP = r"[^\w\n]{1,6}"
 #: Kind and pattern, in order of precedence.
 PATTERNS = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)+"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("token", r"(?<![\p{L}\p{N}])(?:(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{24,128}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{24,128}|(?:AKIA|ghp_|sk-|xox[bp]-)[A-Za-z0-9_-]{12,})(?![\p{L}\p{N}])"),
     ("ip", r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)"),
@@ -58,19 +61,64 @@ NAMES = ("aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", *_O
 KINDS = tuple(k for k, _ in PATTERNS)
 
 
+def letter_runs() -> list[tuple[int, int, int, int, int]]:
+    """(first code point, letters, rank of the first, rank where its class begins, size of the class) of runs of the
+    letters, marks and digits that PLAIN lacks; a class holds those of one script and category, or the few left over.
+    """
+    classes: dict[str, list[int]] = {}
+    for c in range(0x80, 0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LMN" and chr(c) not in "".join(_OTHER):
+            script = unicodedata.name(chr(c), "?").split()[0].split("-")[0]
+            classes.setdefault(f"{script} {kind}", []).append(c)
+    few = sorted(c for own in classes.values() if len(own) < 8 for c in own)
+    out, rank = [], 0
+    for own in [*(own for own in classes.values() if len(own) >= 8), few]:
+        start = rank
+        for c in own:
+            if out and out[-1][3] == start and c == out[-1][0] + out[-1][1]:
+                out[-1][1] += 1
+            else:
+                out.append([c, 1, rank, start, len(own)])
+            rank += 1
+    return [tuple(r) for r in out]
+
+
+#: The runs' numbers, in columns, as text: one literal in a plan.
+_RUNS = [" ".join(map(str, x)) for x in zip(*letter_runs(), strict=True)]
+
+
 def keyed(key: str, *parts: Column | str) -> Column:
     """A keyed hash of the parts, below 2^60."""
     parts_ = [F.lit(p) if isinstance(p, str) else p for p in parts]
     return F.conv(F.substring(F.sha2(F.concat_ws("\u001f", F.lit(key), *parts_).cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
+def shifted(c: Column, h: Column) -> Column:
+    """A letter that no alphabet has, shifted within its class."""
+    # not foldable: plans with folded arrays of all runs take minutes to optimise
+    none = F.substring(c, 1, 0)
+    first, letters, rank, start, size = (F.split(F.concat(F.lit(x), none), " ").cast("array<bigint>") for x in _RUNS)
+    point = F.ascii(c).cast("bigint")
+    runs = F.arrays_zip(first.alias("first"), letters.alias("letters"), rank.alias("rank"), start.alias("start"), size.alias("size"))
+    own = F.filter(runs, lambda r: (r["first"] <= point) & (point < r["first"] + r["letters"]))
+
+    def moved(r: Column) -> Column:
+        to = r["start"] + F.pmod(r["rank"] + point - r["first"] - r["start"] + h, r["size"])
+        at = F.filter(runs, lambda q: (q["rank"] <= to) & (to < q["rank"] + q["letters"]))[0]
+        return F.decode(F.unhex(F.lpad(F.hex(at["first"] + to - at["rank"]), 8, "0")), "UTF-32")
+
+    return F.coalesce(F.transform(own, moved)[0], c)
+
+
 def one_pass(text: Column, alphabets: tuple[str, ...], key: str, tag: Column | str) -> Column:
     """Shifts each character by a hash of the letters and digits before it, regardless of their case."""
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("seen"))
 
     def step(acc: Column, c: Column) -> Column:
         h = keyed(key, tag, F.lower(acc["seen"]))
-        new, inside = c, F.lit(False)
+        inside = (c > F.lit("\x7f")) & F.regexp_like(c, F.lit(r"[\p{L}\p{M}\p{N}]"))
+        new = F.when(inside, shifted(c, h)).otherwise(c)
         for letters in reversed(alphabets):
             at = F.instr(F.lit(letters), c)
             new = F.when(at > 0, F.substr(F.lit(letters), F.pmod(at - 1 + h, F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(new)
@@ -169,16 +217,19 @@ def clashes(docs: DataFrame, key: str, scratch: Scratch, text_col: str = "text")
     own = entities(docs, text_col).withColumn("same", canonical(F.col("entity"), F.col("kind")))
     table = scratch.save(own.withColumn("first", surrogate(F.col("entity"), F.col("kind"), key)))
     taken = table.where("kind <> 'person'").select("kind", F.col("same").alias("new_same")).distinct()
+    clear = (F.col("kind") == "person") & (F.col("same") == F.col("new_same"))
     changed = scratch.save(table.limit(0).select("entity", F.col("first").alias("other")))
     for k in range(1, ROUNDS + 1):
         now = table.join(changed, "entity", "left").withColumn("new_same", canonical(F.coalesce("other", "first"), F.col("kind")))
         shared = now.groupBy("kind", "new_same").agg(F.min("same").alias("keeps"), F.max("same").alias("last")).where("keeps <> last").select("kind", "new_same", "keeps")
-        bad = now.join(taken, ["kind", "new_same"], "left_semi").select("entity", "kind")
+        bad = now.join(taken, ["kind", "new_same"], "left_semi").unionByName(now.where(clear)).select("entity", "kind")
         bad = scratch.save(bad.unionByName(now.join(shared, ["kind", "new_same"]).where("same <> keeps").select("entity", "kind")).distinct())
         if not bad.limit(1).count():
             break
         new = bad.select("entity", surrogate(F.col("entity"), F.col("kind"), f"{key}#{k}").alias("other"))
         changed = scratch.save(changed.join(bad, "entity", "left_anti").unionByName(new))
+    else:
+        raise ValueError(f"op4: entities of {[r['kind'] for r in bad.select('kind').distinct().collect()]} have no surrogate of their own after {ROUNDS} rounds")
     return changed
 
 

@@ -91,3 +91,25 @@ def test_edges(edge_docs, no_docs):
     assert rows.columns == edge_docs.columns
     assert rows.where("text is null").count() == 1 and rows.count() == edge_docs.count()
     assert pii.surrogates(no_docs).count() == 0
+
+
+def test_letters_of_all_scripts_change(spark):
+    mails = ["王小明@邮件公司.com", "محمد@بريدنا.com", "דוד@דואר.com", "राम@डाक.com", "łódźżść@ąęśćżź.com", "їєґ@іїє.com", "άέήίό@ώύόί.com", "𠀀𠀁@𠀂𠀃.com"]
+    names = ["Dr Łżęćźść", "Dr Şğışçğ", "Dr Їєїґєї", "Dr Άέήίόύ"]
+    docs = spark.createDataFrame(list(enumerate(f"x {e} y" for e in mails + names)), "doc_id long, text string")
+    new = {r.doc_id: (r.text, r.n_entities) for r in pii.surrogates(docs).collect()}
+    for k, e in enumerate(mails + names):
+        text, n = new[k]
+        got = text[2:-2]
+        assert n == 1 and got != e and len(got) == len(e), (e, text)
+        old_parts, parts = (re.split(r"[@. ]", x) for x in (e, got))
+        assert all(a != b and [c.isupper() for c in a] == [c.isupper() for c in b] for a, b in zip(old_parts, parts, strict=True) if a not in ("com", "Dr")), (e, got)
+    assert len({t for t, _ in new.values()}) == len(new)
+
+
+def test_clashes_that_stay_are_told(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda entity, kind, key: entity)
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (2, "Dr Smith")], "doc_id long, text string")
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    with pytest.raises(ValueError, match="rounds"):
+        pii.surrogates(docs)
