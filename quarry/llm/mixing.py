@@ -12,8 +12,9 @@ of ``at``, in which every stretch has the target weights.
 
 Running sums are taken within buckets of the hash and carried over buckets, so a source with a third of all rows is
 spread over tasks. Tokens are runs of characters that aren't white space. Null texts have none. A null source is a
-source. Rows that agree in doc_id, source and text are one unit of the permutation; all of them are taken or none.
-An empty table, or one without tokens, gives no rows.
+source. Rows that agree in doc_id, source and text are one unit of the permutation; all of them are taken or none. A
+source without tokens has share 0 and so no rows in the mix (its rows are all null, empty or white space); an empty
+table, or one without tokens, gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,9 +42,9 @@ def digest_of(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def order_of(seed: str, block: Column) -> Column:
+def order_of(seed: str, block: Column, doc_id: Column, digest: Column) -> Column:
     """The permutation of a block: documents in order of this hash."""
-    return F.md5(F.concat_ws(":", F.lit(seed), block.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), block.cast("string"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), digest).cast("binary"))
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -61,15 +62,16 @@ def evaluated(shares: DataFrame, steps: list[int], budget: float) -> dict[int, t
 
 
 def bisected(shares: DataFrame, budget: float, holds: Callable[[float, float], bool]) -> tuple[int, int]:
-    """(last step at which ``holds``, first at which it doesn't); it is taken to hold at 0, and to do so up to one step."""
-    lo, hi = 0, STEPS
-    while hi - lo > 1 or hi == STEPS:
-        steps = sorted({lo + (hi - lo) * k // GRID for k in range(1, GRID + 1)} - {lo})
+    """(last step at which ``holds``, first at which it doesn't); it is taken to hold at 0, and to do so up to one step.
+
+    The step after the last stands for "nowhere": if ``holds`` at all steps, the result is (STEPS, STEPS + 1).
+    """
+    lo, hi = 0, STEPS + 1
+    while hi - lo > 1:
+        steps = sorted({lo + (hi - lo) * k // GRID for k in range(1, GRID)} - {lo})
         ok = {a: holds(*v) for a, v in evaluated(shares, steps, budget).items()}
-        first = next((a for a in steps if not ok[a]), None)
-        if first is None:
-            return hi, hi
-        lo, hi = max([lo, *(a for a in steps if a < first)]), first
+        hi = next((a for a in steps if not ok[a]), hi)
+        lo = max([lo, *(a for a in steps if a < hi)])
     return lo, hi
 
 
@@ -86,7 +88,7 @@ def plan(unit: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
     least = entropy * math.log(found["n"])
     upper, _ = bisected(shares, goal, lambda h, r: h >= least - 1e-12)
     _, lower = bisected(shares, goal, lambda h, r: r > repeats + 1e-9) if evaluated(shares, [0], goal)[0][1] > repeats + 1e-9 else (0, 0)
-    alpha = max(upper, lower) / STEPS
+    alpha = min(STEPS, max(upper, lower)) / STEPS
     z = evaluated_z(shares, alpha)
     weight = F.exp(F.lit(alpha) * F.ln("share")) / F.lit(z)
     out = shares.select("source", F.col("tokens").alias("total"), F.floor(weight * F.lit(goal) + F.lit(1e-6)).alias("goal"))
@@ -101,7 +103,7 @@ def mixed(unit: DataFrame, sources: DataFrame, n_units: int, seed: str = SEED) -
     """(doc_id, source, digest, n_rows, n_tokens, block, h, at): the rows of all blocks that are within the budget."""
     rows = unit.join(sources, unit["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    rows = rows.withColumn("h", order_of(seed, F.col("block")))
+    rows = rows.withColumn("h", order_of(seed, F.col("block"), F.col("doc_id"), F.col("digest")))
     digits = max(2, math.ceil(math.log(max(1, n_units) / 5000, 16))) if n_units else 2
     rows = rows.withColumn("bucket", F.substring("h", 1, digits))
     keys = ["source", "block", "bucket"]
@@ -138,14 +140,14 @@ def resampled(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     taken = mixed(unit, sources, unit.count(), seed)
     last = sources.join(taken.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "h"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("blocks")), "left")
     cut = scratch.save(last.groupBy("source", "blocks").agg(F.max("h").alias("cut")).select(F.col("source").alias("_source"), "blocks", "cut"))
-    rows = docs.withColumn("digest", digest_of(F.col("text"))) if "digest" not in docs.columns else None
-    if rows is None:  # a column of that name is kept under another while the hash is taken
-        kept = docs.withColumnRenamed("digest", "_own_digest")
-        rows = kept.withColumn("digest", digest_of(F.col("text")))
-    rows = rows.join(cut, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    copies = F.col("blocks") + F.when(order_of(seed, F.col("blocks")) <= F.col("cut"), 1).otherwise(0)
-    rows = rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return rows.select(*(F.col("_own_digest").alias("digest") if c == "digest" and "_own_digest" in rows.columns else F.col(c) for c in docs.columns))
+    # a row is one struct, so that none of its columns can clash with those of the plan
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    field = F.col("row").getField
+    rows = rows.join(cut, field("source").cast("string").eqNullSafe(F.col("_source")))
+    in_last = order_of(seed, F.col("blocks"), field("doc_id"), digest_of(field("text"))) <= F.col("cut")
+    copies = F.col("blocks") + F.when(in_last, 1).otherwise(0)
+    rows = rows.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,27 @@ def test_edges(spark, edge_docs, no_docs):
     compare(spark, docs)
     assert mixing.resampled(docs).columns == docs.columns
     assert mixing.mixture(no_docs).count() == 0 and mixing.resampled(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("how", [{"repeats": 1.0}, {"budget": 5000}, {"budget": 100}, {"budget": 10}, {"repeats": 1.0, "budget": 600}])
+def test_limits_that_hold_just_below_exponent_one(spark, how):
+    sizes = {"a": 400, "b": 90, "c": 30, "d": 12}
+    docs = spark.createDataFrame([(k * 1000 + i, "w", s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, text string, source string")
+    rows = mixing.mixture(docs, **how).collect()
+    repeats = how.get("repeats", mixing.REPEATS)
+    assert 0 < len(rows) <= min(how.get("budget", 532), repeats * 532)
+    assert max(Counter(r.doc_id for r in rows).values()) <= math.ceil(repeats)
+
+
+def test_clashing_columns(spark, sf):
+    names = ["blocks", "cut", "copies", "copy", "row", "_source", "_copies", "digest", "h"]
+    docs = documents(spark, sf).selectExpr("*", *(f"cast(doc_id as string) as `{n}`" for n in names))
+    out = mixing.resampled(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == str(r.doc_id) for r in rows for n in names)
+
+
+def test_sources_without_tokens_have_no_share(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "", "y"), (3, None, "y")], "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.resampled(docs).collect()} == {1}
