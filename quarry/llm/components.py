@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a partially aggregated minimum and a join, so a node with very many links is no group in one task. Tables
-between steps are written to the shared folder; their size never exceeds the links.
+Each step is a partially aggregated minimum and a join in which the links of a node with very many are dealt to several
+tasks, so no node is a group in one task. Tables between steps are written to the shared folder; their size never exceeds
+the links.
 """
 
 from __future__ import annotations
@@ -75,6 +76,27 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("u", "v").where("u <> v").mapInArrow(run, "u long, v long")
 
 
+#: Links of one node that one group of the join holds at least; and nodes with more that there can be, at most, which
+#: bounds the broadcast of those nodes (16 bytes each) whatever the number of links.
+SPREAD, MOST = 64, 200_000
+
+
+def with_least(pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """(u, v, m): each pair (u, v) with the least v of its u. n_pairs: how many there are, at most.
+
+    A node with more than ``spread`` pairs is dealt to several groups, by its v. There are at most n_pairs / spread such
+    nodes, MOST or less, so they are broadcast.
+    """
+    spread = max(SPREAD, -(-n_pairs // MOST))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    groups = F.ceil(F.col("n") / spread).cast("int")
+    heavy = least.where(F.col("n") > spread).select("u", groups.alias("k"))
+    deal = F.coalesce(F.pmod(F.xxhash64("v", F.lit("deal")), F.col("k")).cast("int"), F.lit(0))
+    dealt = pairs.join(F.broadcast(heavy), "u", "left").select("u", "v", deal.alias("g"))
+    targets = least.select("u", "m", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"))
+    return dealt.join(targets, ["u", "g"]).select("u", "v", "m")
+
+
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the links (u long, v long): root is the smallest node it can reach.
 
@@ -85,10 +107,10 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     size = edges.agg(*mark).first()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        least = with_least(both, 2 * size[0]).withColumn("m", F.least("u", "m"))
+        large = least.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = with_least(large, 2 * size[0])
+        small = ends.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = scratch.save(small.where("u <> v").distinct())
         found = new.agg(*mark).first()
         scratch.drop(edges)
