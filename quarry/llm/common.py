@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that an Arrow batch of texts holds at most. Texts reach 100 kB and more, so batches stay small.
@@ -27,6 +27,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no other column can clash with any of them, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
     """Lets Arrow batches to Python hold few rows, so that a worker's memory follows a batch of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, documents
+from quarry.llm.common import Scratch, documents, whole_row
 
 #: Target entropy as a part of the largest possible one; how often a source may be repeated; key of the permutations.
 ENTROPY, REPEATS, SEED = 0.985, 4.0, "mix"
@@ -141,7 +141,7 @@ def resampled(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     last = sources.join(taken.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "h"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("blocks")), "left")
     cut = scratch.save(last.groupBy("source", "blocks").agg(F.max("h").alias("cut")).select(F.col("source").alias("_source"), "blocks", "cut"))
     # a row is one struct, so that none of its columns can clash with those of the plan
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs).alias("row"))
     field = F.col("row").getField
     rows = rows.join(cut, field("source").cast("string").eqNullSafe(F.col("_source")))
     in_last = order_of(seed, F.col("blocks"), field("doc_id"), digest_of(field("text"))) <= F.col("cut")

@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import Scratch, column, documents, groups_of, id_and_text, small_batches
 from quarry.llm.components import Forest, connected_components
@@ -119,8 +118,8 @@ def bucket_keys(points: DataFrame) -> DataFrame:
     return points.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def linked_in_groups(groups: np.ndarray, fp: np.ndarray, block: np.ndarray) -> Forest:
-    """Trees of the links among rows sorted by group; rows of one block are compared if the group has only one."""
+def linked_in_groups(groups: np.ndarray, fp: np.ndarray) -> Forest:
+    """Trees of the links among rows sorted by group; all rows of a group are compared, also those of one block."""
     forest, n, step = Forest(), len(fp), 1
     first = np.concatenate([[True], groups[1:] != groups[:-1]])
     end = np.append(np.flatnonzero(first)[1:], n)[np.cumsum(first) - 1]
@@ -159,7 +158,7 @@ def links(points: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
         for table in groups_of(batches, "g"):
             g = table.column("g").to_numpy()
             fp = table.column("fp").to_numpy()
-            u, v = linked_in_groups(g, fp, g).stars()
+            u, v = linked_in_groups(g, fp).stars()
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -195,36 +194,5 @@ def simhash_components(docs: DataFrame, scratch: Scratch | None = None, block: i
     return selected(*components_by_value(docs, scratch or Scratch(docs.sparkSession, "simhash"), block))
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_fp``."""
-    small_batches(docs.sparkSession)
-    rows = docs.withColumn("_fp", F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in column(batch, "_fp").cast(pa.binary()).to_pylist()], np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=batch.schema.names)
-
-    return rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-
-
-def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """One document of each group: the rows whose doc_id is the component's id (of repeated rows, all).
-
-    Of a group without any doc_id one row stays, that with the least hash; a row without doc_id goes if it is in a group
-    with one.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    rows, by_fp = components_by_value(docs, scratch)
-    found = selected(rows, by_fp).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    nameless = docs.where(F.col("doc_id").cast("long").isNull())
-    if not nameless.limit(1).count():
-        return kept
-    alone = by_fp.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"))
-    one = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    return kept.unionByName(with_fingerprint(nameless).join(alone, "_fp").groupBy("_root").agg(one).select("_row.*"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))

@@ -84,18 +84,3 @@ def test_links_of_close_values(spark, block):
     got = {r.node: r.root for r in connected_components(simhash.links(points, scratch, block), scratch).collect()}
     want = slow_components(fps, fps)
     assert [got.get(f, f) for f in fps] == want
-
-
-def test_kept_documents(spark, sf):
-    docs = documents(spark, sf)
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert kept == {r.component_id for r in simhash.simhash_components(docs).collect()}
-
-
-def test_kept_rows_without_doc_id(spark, edge_docs):
-    kept = [(r.doc_id, r.text) for r in simhash.keep_one(edge_docs).collect()]
-    assert (None, "no id here") in kept and {d for d, _ in kept if d is not None} == {r.component_id for r in simhash.simhash_components(edge_docs).collect() if r.component_id is not None}
-    a, b = "a clean text unlike any other here", "a second clean text, of its own"
-    rows = [(None, a, 1), (None, a, 2), (None, b, 3), (7, "named text of its own", 4), (None, "named text of its own", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
-    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == [(0, a), (0, b), (7, "named text of its own")]
