@@ -2,10 +2,13 @@
 
 Documents are tokenised where they lie; only one row per piece (its length, a checksum) goes on. Pieces are packed by
 length: the histogram of lengths has at most ``capacity`` rows whatever the corpus, and is solved on the driver. Bin
-completion takes the longest remaining piece and searches, by branch and bound, the undominated fillings of the room
-beside it: sizes in falling order, so a filling by few large pieces comes before those by smaller ones that it
-dominates; a branch is cut when its least possible waste is no better than the incumbent's. The first incumbent is the
-best-fit filling. A completed bin is repeated as often as the counts of its lengths allow.
+completion takes the longest remaining piece and searches, by branch and bound, the fillings of the room beside it: sizes
+in falling order, so a filling by few large pieces comes before those by smaller ones that it dominates; a branch is cut
+when its least possible waste, found exactly from the sums that the pieces left can reach, is no better than the
+incumbent's. The first incumbent is the best-fit filling. A completed bin is repeated as often as the counts of its
+lengths allow. Each filling wastes the least there is. The best-fit solution of the whole is the incumbent of the whole; if
+it has more sequences than the lower bound ``least_sequences``, that by completions is made, and the better one stands.
+README has the distance to the bound.
 
 The plan deals ranks within a length to places. Ranks come from salted row numbers plus the salts' running counts, so
 a length that holds a third of all pieces is spread over tasks.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -32,8 +35,6 @@ from quarry.llm.common import Scratch, column, documents, id_and_text, shuffle_p
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Branches that one search may open; beyond, the incumbent (best fit at least) stands.
-BRANCHES = 400
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 300_000
 
@@ -48,7 +49,7 @@ class Ids:
     """Ids of a text as little-endian 32-bit bytes.
 
     The tokenizer splits a text into words before anything else and treats each word alone, so the ids of words are
-    remembered. Texts beyond Latin-1 or with characters of unsure class go to the tokenizer whole.
+    remembered. Texts beyond Latin-1, with characters of unsure class or with special tokens go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,7 +57,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
@@ -89,7 +90,7 @@ class Ids:
                 text.encode("latin-1")
         except UnicodeEncodeError:
             return self.whole(text)
-        if _UNSURE.search(text):
+        if _UNSURE.search(text) or any(t in text for t in self.special):
             return self.whole(text)
         words = _WORDS.findall(text.lower())
         known = self.known
@@ -127,59 +128,81 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Da
     return id_and_text(docs).mapInArrow(run, PIECES)
 
 
+def best_fit(room: int, sizes: np.ndarray, counts: np.ndarray) -> tuple[list[int], int]:
+    """Positions in ``sizes`` (falling) of the best-fit filling: the largest piece that fits, again and again; and its waste."""
+    out: list[int] = []
+    at, left = 0, room
+    while (at := max(at, int(np.searchsorted(-sizes, -left)))) < len(sizes):
+        times = min(int(counts[at]), left // int(sizes[at]))
+        out += [at] * times
+        left -= times * int(sizes[at])
+        at += 1
+    return out, left
+
+
+def reachable(room: int, sizes: np.ndarray, counts: np.ndarray) -> list[int]:
+    """For each position the sums up to ``room`` that pieces from there on can have: bit n is set if n is one."""
+    mask = (1 << (room + 1)) - 1
+    out, sums = [1] * (len(sizes) + 1), 1
+    for k in range(len(sizes) - 1, -1, -1):
+        size, left, part = int(sizes[k]), min(int(counts[k]), room // int(sizes[k])), 1
+        while left:  # 1, 2, 4, ... pieces at once, and the rest: all numbers up to the count
+            part = min(part, left)
+            sums |= sums << (size * part) & mask
+            left, part = left - part, 2 * part
+        out[k] = sums
+    return out
+
+
 def completion(room: int, sizes: np.ndarray, counts: np.ndarray) -> list[int]:
-    """Positions in ``sizes`` (falling) of the filling of ``room`` with least waste, larger pieces first."""
-    best: list[int] = []
-    at, left = int(np.searchsorted(-sizes, -room)), room
-    used: dict[int, int] = {}
-    while at < len(sizes):  # incumbent: best fit, again and again
-        at = max(at, int(np.searchsorted(-sizes, -left)))
-        if at < len(sizes) and counts[at] > used.get(at, 0):
-            used[at] = used.get(at, 0) + 1
-            best.append(at)
-            left -= int(sizes[at])
-        else:
-            at += 1
-    waste, opened = left, 0
-    least = int(sizes[-1]) if len(sizes) else room + 1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and waste and opened < BRANCHES:
-        first, left, filling = stack.pop()
-        opened += 1
-        if left < waste:
-            waste, best = left, list(filling)
-        if left < least:
-            continue
-        first = max(first, int(np.searchsorted(-sizes, -left)))
-        n_first = filling.count(first)
-        children = []
-        for k in range(first, min(len(sizes), first + 24)):
-            if counts[k] > (n_first if k == first else 0):
-                rest = left - int(sizes[k])
-                # dominated: the next piece is no larger than this one; with too few of them the room can't be used up
-                if rest < waste or rest >= least:
-                    children.append((k, rest, (*filling, k)))
-        # a second piece that uses up the room exactly, if there is one, is tried before all others
-        stack += reversed(children)
-        for k, rest, filling in children:
-            exact = int(np.searchsorted(-sizes, -rest)) if rest else len(sizes)
-            if exact < len(sizes) and exact >= k and sizes[exact] == rest and counts[exact] > filling.count(exact):
-                stack.append((exact, 0, (*filling, exact)))
-                break
+    """Positions in ``sizes`` (falling) of a filling of ``room`` with the least waste there is.
+
+    The best-fit filling is the incumbent. The search branches on how many pieces of the largest size, then of the next,
+    are taken, more first, so that no filling comes after one that it dominates. Its waste bound is exact: the sums that
+    the pieces left can still reach. So a branch that can't reach the least waste is never entered, no other is left
+    again, and no limit on the search is needed.
+    """
+    best, waste = best_fit(room, sizes, counts)
+    if not waste:
+        return best
+    first = int(np.searchsorted(-sizes, -room))
+    sizes, counts = sizes[first:], counts[first:]
+    sums = reachable(room, sizes, counts)
+    left = sums[0].bit_length() - 1  # the fullest filling
+    if left == room - waste:
+        return best
+    out: list[int] = []
+    for k, size in enumerate(sizes.tolist()):
+        times = min(int(counts[k]), left // size)
+        while not sums[k + 1] >> (left - times * size) & 1:
+            times -= 1
+        out += [first + k] * times
+        left -= times * size
+    return out
+
+
+def least_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """No packing has fewer: pieces over half need a sequence each, and others of k or more fit only in what those leave."""
+    best = 0
+    for k in range(capacity // 2 + 1):
+        alone = sum(n for s, n in histogram.items() if s > capacity - k)
+        large = [(s, n) for s, n in histogram.items() if capacity // 2 < s <= capacity - k]
+        room = sum(n * (capacity - s) for s, n in large)
+        small = sum(s * n for s, n in histogram.items() if k <= s <= capacity // 2)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(repetitions, lengths in order) of the sequences; every piece of the histogram is in one."""
+def filled(histogram: dict[int, int], capacity: int, fill: Callable[[int, np.ndarray, np.ndarray], list[int]]) -> list[tuple[int, list[int]]]:
+    """(repetitions, lengths in order): the longest piece left and its ``fill``, as often as the counts allow, and so on."""
     left = {s: n for s, n in histogram.items() if n}
     out = [(left.pop(capacity), [capacity])] if capacity in left else []
     sizes = np.array(sorted(left, reverse=True), np.int64)
     counts = np.array([left[int(s)] for s in sizes], np.int64)
     while len(sizes):
         counts[0] -= 1
-        filling = completion(capacity - int(sizes[0]), sizes, counts)
+        bin_ = [0, *fill(capacity - int(sizes[0]), sizes, counts)]
         counts[0] += 1
-        bin_ = [0, *filling]
         need = np.bincount(bin_, minlength=len(sizes))
         times = int((counts[need > 0] // need[need > 0]).min())
         out.append((times, [int(sizes[k]) for k in bin_]))
@@ -190,6 +213,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(repetitions, lengths in order) of the sequences; every piece of the histogram is in one.
+
+    The best-fit solution is the incumbent; that by completions takes its place if it has fewer sequences.
+    """
+    best = filled(histogram, capacity, lambda *a: best_fit(*a)[0])
+    if sum(t for t, _ in best) > least_sequences(histogram, capacity):
+        best = min(best, filled(histogram, capacity, completion), key=lambda bins: sum(t for t, _ in bins))
+    return best
+
+
 def places(bins: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     """By length: rows (first rank, first sequence, offset) in order of first rank; a row's ranks count on from there."""
     out: dict[int, list[tuple[int, int, int]]] = {}

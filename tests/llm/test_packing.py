@@ -12,9 +12,7 @@ from quarry.llm.common import documents
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
 
 
 def check(rows, texts, tokenizer, capacity=4096):
@@ -47,22 +45,60 @@ def test_edges(spark, edge_docs, no_docs, tokenizer):
     assert packing.pack(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("text", ["it's we'LL 'd ''s don''t", "a\x1cb\x85c\xa0d", "x²³ ¼ µm ÀÉÎ ß Ÿ İ Σς", "<|endoftext|> a", "12 345,6%%% --'re"])
+@pytest.mark.parametrize("text", ["it's we'LL 'd ''s don''t", "a\x1cb\x85c\xa0d", "x²³ ¼ µm ÀÉÎ ß Ÿ İ Σς", "<|endoftext|> a", "a<|startoftext|>B <|endoftext| <|EndOfText|>", "12 345,6%%% --'re"])
 def test_remembered_words_equal_the_tokenizer(tokenizer, text):
     ids = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
     assert list(np.frombuffer(ids(text), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def bound(histogram, capacity):
-    """No packing has fewer bins: pieces over half each need one, and pieces of k or more fit only in what those leave."""
-    best = 0
-    for k in range(capacity // 2 + 1):
-        alone = sum(n for s, n in histogram.items() if s > capacity - k)
-        large = [(s, n) for s, n in histogram.items() if capacity // 2 < s <= capacity - k]
-        room = sum(n * (capacity - s) for s, n in large)
-        small = sum(s * n for s, n in histogram.items() if k <= s <= capacity // 2)
-        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
-    return best
+def test_special_tokens_are_read_as_such():
+    ids = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
+    assert np.frombuffer(ids("<|endoftext|> a"), "<u4").tolist() == [49407, 320]
+
+
+def slow_best(room, pieces):
+    sums = {0}
+    for p in pieces:
+        sums |= {x + p for x in sums if x + p <= room}
+    return max(sums)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fillings_waste_the_least(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.sort(rng.choice(np.arange(3, 60), rng.integers(1, 8), replace=False))[::-1].astype(np.int64)
+    counts = rng.integers(1, 5, len(sizes))
+    for room in range(0, 130, 3):
+        filling = packing.completion(room, sizes, counts)
+        assert all(filling.count(k) <= counts[k] for k in range(len(sizes)))
+        assert sum(int(sizes[k]) for k in filling) == slow_best(room, np.repeat(sizes, counts).tolist())
+
+
+def least_bins(pieces, capacity):
+    """By trying all placements, large pieces first."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for at in {r: i for i, r in enumerate(rooms) if r >= pieces[k]}.values():
+            place(k + 1, [*rooms[:at], rooms[at] - pieces[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_few_pieces_against_all_placements(seed):
+    rng = np.random.default_rng(seed)
+    pieces = rng.integers(5, 60, 11).tolist()
+    histogram = {int(p): pieces.count(p) for p in set(pieces)}
+    got, least = sum(t for t, _ in packing.plan(histogram, 100)), least_bins(pieces, 100)
+    assert packing.least_sequences(histogram, 100) <= least <= got <= least + 1
 
 
 def test_plan_holds_every_piece():
@@ -75,5 +111,5 @@ def test_plan_holds_every_piece():
         for s in sizes:
             count[s] += times
     assert dict(count) == histogram
-    assert sum(t for t, _ in bins) <= bound(histogram, 100) + 2
+    assert sum(t for t, _ in bins) <= packing.least_sequences(histogram, 100) + 2
     assert packing.plan({}, 100) == []
