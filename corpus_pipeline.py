@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import language_id, mixing, packing, pii, simhash
+from quarry.llm import language_id, mixing, packing, pii, similar
 from quarry.llm.common import Scratch
 
 
@@ -16,8 +16,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8) stays, that with the smallest doc_id."""
+    return similar.keep_one(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
