@@ -2,7 +2,9 @@
 
 A notice of n characters with k allowed edits is cut into k + 1 parts; by the pigeonhole principle any text within k
 edits of it holds one part unchanged. The parts are looked up exactly (one pass of ``bytes.find`` over a batch), and
-the text around each hit is verified by the ``regex`` library's bounded-error matching, which also gives the span.
+the text around each hit is verified by the ``regex`` library's bounded-error matching, which also gives the span. Edits
+must leave what tells a notice from its rivals: a span counts only if its notice's ``telling`` expression is found in it,
+so "under the mpl license" isn't the MIT license, and "apache license version 1.1" isn't version 2.
 
 Texts are compared as words: A-Z are lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, and one space stands
 between two words. Null and empty texts have no words, no label and score 0. Rows with equal doc_id are scanned each
@@ -11,6 +13,7 @@ for itself; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,27 +32,30 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Notice:
-    """phrase: lower-case words with one space between; edits: how many the fuzzy search allows."""
+    """phrase: lower-case words with one space between; edits: how many the fuzzy search allows; telling: what a span
+    must hold unchanged, an expression searched in the span's words with a space before and after each.
+    """
 
     phrase: str
     label: str
     edits: int
     base: bool = False
+    telling: str = ""
 
 
 #: The phrases and labels of the contract.
 BASE = (
-    Notice("under the mit license", "mit", 2, True),
-    Notice("apache license version 2", "apache-2", 2, True),
+    Notice("under the mit license", "mit", 2, True, " mit "),
+    Notice("apache license version 2", "apache-2", 2, True, " [a-z]+ 2 (?:0 )?$"),
     Notice("cc by nc", "cc-by-nc", 0, True),
 )
 #: Notices that the fuzzy search adds.
 ADDED = (
-    Notice("gnu general public license", "gpl", 3),
-    Notice("mozilla public license", "mpl", 2),
-    Notice("permission is hereby granted free of charge", "mit", 4),
-    Notice("redistribution and use in source and binary forms", "bsd", 5),
-    Notice("creative commons attribution noncommercial", "cc-by-nc", 4),
+    Notice("gnu general public license", "gpl", 3, telling=" gnu "),
+    Notice("mozilla public license", "mpl", 2, telling=" mozil+a "),
+    Notice("permission is hereby granted free of charge", "mit", 4, telling=" granted .*free "),
+    Notice("redistribution and use in source and binary forms", "bsd", 5, telling=" source .*binary "),
+    Notice("creative commons attribution noncommercial", "cc-by-nc", 4, telling=" non ?commercial "),
 )
 
 _WORD = np.ones(256, bool)
@@ -99,33 +105,41 @@ class Scanner:
         self.fuzzy = [
             regex.compile(rf"(?b)(?<=[ \n])(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )".encode()) for n in notices
         ]
+        self.telling = [regex.compile(n.telling.encode()) for n in notices]
+
+    def near(self, text: bytes, k: int, whole: list[int]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the notice's spans with edits, apart from each other and from its whole phrases."""
+        notice = self.notices[k]
+        size, room = len(notice.phrase.encode()), notice.edits + 1
+        exact = set(whole)
+        seeds = sorted({(at - offset, at) for offset, part in parts(notice) for at in find_all(text, part) if at - offset not in exact})
+        out: list[tuple[int, int, int]] = []
+        for start, at in seeds:  # in order of place, so a span can only meet the last one, or the phrases around it
+            lo, hi = max(0, start - room, out[-1][1] if out else 0), start + size + room
+            lo = max(lo, text.rfind(b"\n", lo, max(lo, at)) + 1)  # not beyond the hit's own text
+            end = text.find(b"\n", at, hi)
+            hi = end if end >= 0 else min(hi, len(text))
+            after = bisect.bisect_right(whole, start)
+            if after:
+                lo = max(lo, whole[after - 1] + size)
+            if after < len(whole):
+                hi = min(hi, whole[after])
+            for found in self.fuzzy[k].finditer(text, lo, hi, overlapped=True) if lo < hi else ():
+                if self.telling[k].search(b" " + found.group() + b" "):
+                    out.append((found.start(), found.end(), sum(found.fuzzy_counts)))
+                    break
+        return out
 
     def scan(self, text: bytes) -> list[tuple[int, int, int, int, bool]]:
         """(start, end, notice, edits, whole phrase) in a batch's normalised text."""
-        found: dict[tuple[int, int], tuple[int, int, bool]] = {}
+        found = []
         for k, notice in enumerate(self.notices):
             raw = notice.phrase.encode()
-            whole = set(find_all(text, b" " + raw + b" "))
-            for at in whole:
-                found[(k, at + 1)] = (at + 1 + len(raw), 0, True)
-            if not notice.edits:
-                continue
-            seen: set[tuple[int, int]] = set()
-            for offset, part in parts(notice):
-                for at in find_all(text, part):
-                    start = at - offset
-                    if start - 1 in whole:
-                        continue
-                    lo = max(text.rfind(b"\n", 0, at) + 1, start - notice.edits - 1)
-                    hi = text.find(b"\n", at)
-                    hi = min(hi if hi >= 0 else len(text), start + len(raw) + notice.edits + 1)
-                    if (lo, hi) in seen:
-                        continue
-                    seen.add((lo, hi))
-                    m = self.fuzzy[k].search(text, lo, hi)
-                    if m and not any(m.start() < e and s < m.end() for (j, s), (e, _, _) in found.items() if j == k):
-                        found[(k, m.start())] = (m.end(), sum(m.fuzzy_counts), False)
-        return sorted((s, e, k, n, w) for (k, s), (e, n, w) in found.items())
+            whole = [at + 1 for at in find_all(text, b" " + raw + b" ")]
+            found += [(at, at + len(raw), k, 0, True) for at in whole]
+            if notice.edits:
+                found += [(a, b, k, n, False) for a, b, n in self.near(text, k, whole)]
+        return sorted(found)
 
 
 def license_scan(docs: DataFrame, notices: tuple[Notice, ...] = BASE + ADDED) -> DataFrame:
