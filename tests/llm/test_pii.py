@@ -1,10 +1,13 @@
+import hmac
+import math
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarry.llm import pii
-from quarry.llm.common import documents
+from quarry.llm.common import Scratch, documents
 
 TEXTS = [
     "Mail Bosbt.42@Mail8.example.com or bosbt.42@mail8.example.com; not a@b",
@@ -66,7 +69,7 @@ def test_distinct_entities_stay_distinct(spark):
 
 def test_surrogates_that_are_entities_are_enciphered_again(spark):
     """The second entity is the first one's first surrogate."""
-    one = spark.range(1).select(pii.surrogate(F.lit("10.0.0.1"), F.lit("ip"), pii.KEY).alias("s")).first().s
+    one = spark.range(1).select(pii.surrogate(F.lit("10.0.0.1"), F.lit("ip"), pii.NOT_SECRET).alias("s")).first().s
     docs = spark.createDataFrame([(1, "a 10.0.0.1 b"), (2, f"c {one} d")], "doc_id long, text string")
     new = {r.doc_id: r.text.split()[1] for r in pii.surrogates(docs).collect()}
     assert new[1] not in ("10.0.0.1", one) and new[2] not in (one, "10.0.0.1") and new[1] != new[2]
@@ -113,3 +116,113 @@ def test_clashes_that_stay_are_told(spark, monkeypatch):
     monkeypatch.setattr(pii, "ROUNDS", 2)
     with pytest.raises(ValueError, match="rounds"):
         pii.surrogates(docs)
+
+
+def slow_keyed(key, *parts):
+    return int(hmac.new(key.encode(), "\x1f".join(parts).encode(), "sha256").hexdigest()[:15], 16)
+
+
+def slow_pass(text, alphabets, key, tag):
+    out, seen = "", ""
+    for c in text:
+        own = next((a for a in alphabets if c in a), None)
+        assert own or not c.isalnum(), "letters of other scripts have a test of their own"
+        out += own[(own.index(c) + slow_keyed(key, tag, seen.lower())) % len(own)] if own else c
+        seen += c if own else ""
+    return out
+
+
+def slow_cipher(text, alphabets, key, tag):
+    return slow_pass(slow_pass(text, alphabets, key, tag)[::-1], alphabets, key, tag + "-back")[::-1]
+
+
+def slow_exchange(name, names, key, tag):
+    seed = int.from_bytes(hmac.new(key.encode(), tag.encode(), "sha256").digest()[:7], "big")
+    factor = next(a for a in range(3 + seed % 101, 10_000) if math.gcd(a, len(names)) == 1)
+    return names[(names.index(name) * factor + 1 + seed % 997) % len(names)]
+
+
+def slow_surrogate(entity, key):
+    kind = next((k for k, p in pii.PATTERNS if regex.fullmatch(p, entity)), None)
+    c = lambda text, tag, alphabets=pii.PLAIN: slow_cipher(text, alphabets, key, tag)
+    if kind == "email":
+        local, host = entity.split("@")
+        top = host.rsplit(".", 1)[1]
+        return c(local, "local") + "@" + c(host[: -len(top)], "host") + top
+    if kind == "phone":
+        country = re.match(r"\+\d{1,3}(?=\D)|\+\d{1,2}|", entity).group()
+        return country + c(entity[len(country) :], "phone")
+    if kind == "token":
+        brand = re.match(r"(?:AKIA|ghp_|sk-|xox[bp]-)?", entity).group()
+        if brand:
+            return brand + c(entity[len(brand) :], "token")
+        return c(entity, "hex", pii.HEX if re.fullmatch("[0-9a-f]*", entity) else pii.HEX_UPPER)
+    if kind == "ip" and all(int(x) < 256 for x in entity.split(".")):
+        w, x, y, z = map(int, entity.split("."))
+        a = (w * 256 + x + slow_keyed(key, "ip", str(y * 256 + z))) % 65536
+        b = (y * 256 + z + slow_keyed(key, "ip2", str(a))) % 65536
+        return ".".join(map(str, (a // 256, a % 256, b // 256, b % 256)))
+    if kind == "person":
+        one = lambda w: (
+            w if w.removesuffix(".") in pii.TITLES
+            else slow_exchange(w, pii.FEMALE, key, "female") if w in pii.FEMALE
+            else slow_exchange(w, pii.MALE, key, "male") if w in pii.MALE
+            else c(w, "name", pii.NAMES)
+        )
+        return " ".join(map(one, entity.split(" ")))
+    return c(entity, "number")
+
+
+def test_texts_equal_the_slow_version(spark, sf):
+    docs = documents(spark, sf)
+    other = {r.entity: r.other for r in pii.clashes(docs, "a key", Scratch(spark, "test")).collect()}
+    pattern = regex.compile(pii.PATTERN)
+    n = 0
+    for r in pii.surrogates(docs.withColumnRenamed("text", "old").withColumn("text", F.col("old")), "a key").collect():
+        found = [m.group() for m in pattern.finditer(r.old or "")]
+        n += len(found)
+        want = pattern.sub(lambda m: other.get(m.group()) or slow_surrogate(m.group(), "a key"), r.old or "")
+        assert (r.text or "") == want and r.n_entities == len(found)
+    assert n > 20
+
+
+def test_spellings_stay_alike_after_a_clash(spark):
+    """The corpus holds the first surrogate of a name, so the name is enciphered anew, however it is written."""
+    taken = slow_surrogate("Anna Weber", pii.NOT_SECRET)
+    texts = ["Anna Weber wrote", "Frau Anna Weber, then", "Dr. Weber and", f"and {taken} too", "mail A.b@c.example.com or a.B@c.example.com", f"to {slow_surrogate('A.b@c.example.com', pii.NOT_SECRET)} as well"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.surrogates(docs).collect()}
+    first, last = new[0].split()[:2]
+    assert new[1] == f"Frau {first} {last}, then" and new[2] == f"Dr. {last} and"
+    assert f"{first} {last}" not in ("Anna Weber", taken) and taken not in new[3]
+    a, b = re.findall(r"\S+@\S+", new[4])
+    assert a.lower() == b.lower() and a != b and a not in texts[5] and new[5].split()[1] != a
+
+
+def test_short_names_that_are_all_taken_get_longer(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SHORT", 2)
+    texts = [f"Dr {a}{b} met" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r.text for r in pii.surrogates(docs).collect()]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+
+
+def test_columns_of_any_name_and_marks_in_texts(spark):
+    row = (1, "a\x01b 10.0.0.1\x01 and 10.0.0.2", "7", "x", "y", "z", 3)
+    docs = spark.createDataFrame([row], "doc_id long, text string, n_entities string, _ents string, map string, h string, n_chars int")
+    for out in (pii.surrogates(docs), pii.replaced(docs)):
+        assert out.columns == docs.columns
+        got = out.collect()[0]
+        assert got[2:6] == row[2:6]
+        ips = re.fullmatch(r"a\x01b (\S+)\x01 and (\S+)", got.text).groups()
+        assert ips[0] == slow_surrogate("10.0.0.1", pii.NOT_SECRET) and ips[1] == slow_surrogate("10.0.0.2", pii.NOT_SECRET)
+    assert got.n_chars == len(got.text)
+
+
+def test_the_key_is_the_sessions(spark):
+    docs = spark.createDataFrame([(1, "to 10.0.0.1 now")], "doc_id long, text string")
+    spark.conf.set("spark.quarry.pii.key", "secret")
+    try:
+        assert pii.surrogates(docs).first().text == f"to {slow_surrogate('10.0.0.1', 'secret')} now"
+    finally:
+        spark.conf.unset("spark.quarry.pii.key")
