@@ -20,11 +20,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_codes, byte_view, column, documents, id_and_text, mix64, shuffle_partitions, small_batches
+from quarry.llm.common import bounded_sample, byte_codes, byte_view, column, documents, id_and_text, mix64, shuffle_partitions, small_batches
 
 BUCKETS = 12
 HASHES = 3
@@ -190,34 +191,60 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + part
 
 
+def cuts_of(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n - 1 places (key, h) that cut the rows, in that order, into parts of like size.
+
+    They come from about 20 places for each part, picked by hash: they decide only how much a task gets, not the result.
+    """
+    picked = bounded_sample(rows.select("key", "h", F.xxhash64("key", "h").alias("place")), 20 * n, "place").toArrow()
+    key, h = (picked[c].to_numpy() for c in ("key", "h"))
+    order = np.lexsort((h, key))
+    at = order[np.unique(np.arange(1, n) * len(order) // n)] if len(order) else order
+    return key[at], h[at]
+
+
+def bucket_of(key: np.ndarray, h: np.ndarray, cut_key: np.ndarray, cut_h: np.ndarray) -> np.ndarray:
+    """How many cuts are at most (key, h)."""
+    out = np.searchsorted(cut_key, key, "left")
+    last = np.searchsorted(cut_key, key, "right")
+    for k in np.unique(key[last > out]):  # keys that are cut, by h
+        own = key == k
+        lo, hi = np.searchsorted(cut_key, k, "left"), np.searchsorted(cut_key, k, "right")
+        out[own] = lo + np.searchsorted(cut_h[lo:hi], h[own], "right")
+    return out
+
+
 def following_texts(docs: DataFrame) -> DataFrame:
-    """(bucket, doc_id, text, guest) where each bucket has consecutive rows and, last, the row after them as a guest.
+    """(bucket, guest, doc_id, key, h, text): each bucket has consecutive rows and, as its guests, the rows that come first
+    in the next bucket that has any.
 
-    Buckets are ranges of doc_id between values found over all rows; texts move once.
+    Buckets are ranges of (doc_id, hash of the text), so many rows with one doc_id or without one are in several. Texts
+    move once; only the buckets' first rows, one for each, move twice.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("h", F.xxhash64("text"))
     n = max(8 * shuffle_partitions(spark), 64)
-    found = rows.agg(F.min("key").alias("least"), F.max("key").alias("most"), F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n).alias("cuts")).first()
-    if found["least"] is None:
-        cuts: list[int] = []
-    else:
-        cuts = sorted({int(c) for c in found["cuts"]} - {found["least"]})
-    # a bucket begins at each cut; the first one at the least key
-    at = F.array_size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    begins = F.col("key").isin([*cuts, found["least"]]) if found["least"] is not None else F.lit(False)
-    last = len(cuts)
-    # (bucket, guest): the row itself, and as a guest of the bucket before if it begins one (of the last, if the first)
-    places = F.when(
-        begins, F.array(F.struct(at.alias("bucket"), F.lit(0).alias("guest")), F.struct(F.pmod(at - 1, F.lit(last + 1)).alias("bucket"), F.lit(1).alias("guest")))
-    ).otherwise(F.array(F.struct(at.alias("bucket"), F.lit(0).alias("guest"))))
-    return rows.withColumn("h", F.xxhash64("text")).select(F.explode(places).alias("p"), "doc_id", "key", "h", "text").select("p.bucket", "p.guest", "doc_id", "key", "h", "text")
+    held = spark.sparkContext.broadcast(cuts_of(rows, n))
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(key.to_numpy(), h.to_numpy(), *held.value))
+
+    rows = rows.withColumn("bucket", bucket("key", "h"))
+    first = rows.groupBy("bucket").agg(F.min(F.struct("key", "h")).alias("head")).select("bucket", "head.*").collect()  # n rows at most
+    first.sort()
+    heads = [(r["key"], r["h"], before["bucket"]) for before, r in zip([*first[-1:], *first[:-1]], first, strict=True)]
+    guests = spark.createDataFrame(heads, "head_key long, head_h long, host int")
+    guests = rows.join(F.broadcast(guests), (F.col("key") == F.col("head_key")) & (F.col("h") == F.col("head_h")))
+    guests = guests.groupBy("host", "doc_id", "key", "h").agg(F.first("text").alias("text"))  # of equal rows one
+    columns = ("doc_id", "key", "h", "text")
+    return rows.select("bucket", F.lit(0).alias("guest"), *columns).unionByName(guests.select(F.col("host").alias("bucket"), F.lit(1).alias("guest"), *columns))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """See the module; one row per row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     rows = following_texts(docs)
     n = shuffle_partitions(spark) * 2
 

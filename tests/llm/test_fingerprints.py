@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +68,52 @@ def test_peeling_recovers_the_differences(pairs):
         mine = pair == i
         assert set(value[mine & (side == 1)].tolist()) == a[i] - b[i]
         assert set(value[mine & (side == -1)].tolist()) == b[i] - a[i]
+
+
+def test_many_rows_without_or_with_one_doc_id(spark):
+    """A third of all rows has no doc_id and a third has one: they are in several buckets, and each row has its follower."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k * k} of a row\nline {k}\n" * (k % 4)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed = fp.following_texts(docs).collect()
+    own = [r for r in placed if not r.guest]
+    assert len(own) == 900 and len(placed) - 900 <= 64
+    for doc in (None, 7):
+        size = Counter(r.bucket for r in own if r.doc_id == doc)
+        assert len(size) > 8 and max(size.values()) < 100
+    order = sorted(own, key=lambda r: (r.key, r.h))
+    assert Counter(got(docs)) == Counter(slow([(r.doc_id, r.text) for r in order]))
+
+
+def test_buckets_against_counting(spark):
+    rng = np.random.default_rng(3)
+    cuts = sorted(set(map(tuple, rng.integers(-3, 4, (30, 2)).tolist())))
+    rows = rng.integers(-5, 6, (400, 2))
+    found = fp.bucket_of(rows[:, 0], rows[:, 1], *np.array(cuts).T)
+    assert found.tolist() == [sum(c <= tuple(r) for c in cuts) for r in rows.tolist()]
+
+
+def slow_digests(text):
+    """Cells by the rule, cut one by one: at line ends, and before words whose first four bytes hash to 0 modulo CUT."""
+    raw, cells, start = text.encode(), [], 0
+    white = b"\t\n\x0b\x0c\r "
+    for k in range(1, len(raw) + 1):
+        word = k < len(raw) and raw[k - 1] in white and raw[k] not in white
+        head = sum(b << 8 * i for i, b in enumerate(raw[k : k + 4]))
+        if k == len(raw) or raw[k - 1] == 10 or (word and int(fp.mix64(np.array([head], np.uint64))[0]) % fp.CUT == 0):
+            cells.append(raw[start:k].rstrip(white))
+            start = k
+    return Counter(c for c in cells if c)
+
+
+def test_cells_against_cutting_one_by_one(spark, sf):
+    texts = [r.text for r in documents(spark, sf).limit(60).collect()] + ["", "a", " a\n\nb b\n", "é ü\r\nx"]
+    value, at = of(*texts)
+    known = {}
+    for k, t in enumerate(texts):
+        cells = slow_digests(t)
+        own = value[at[k] : at[k + 1]]
+        assert len(own) == sum(cells.values()) == len(set(own.tolist()))
+        for c in cells:  # equal cells have equal digests, in whatever text
+            alone = of(c.decode())[0]
+            if len(slow_digests(c.decode())) == 1 and not c[:1].isspace():
+                assert known.setdefault(c, int(alone[0])) in own
