@@ -130,21 +130,27 @@ def train(codes: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 6,
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
     """Learns from text and non-null lang of rows whose crc32(doc_id) mod 5 isn't 0; of at most ``rows`` of them."""
+    small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     labelled = labelled.where((crc_of_id() % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sample = bounded_sample(labelled, rows).toArrow()
-    if not sample.num_rows:
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, owner = windows(*byte_view(column(batch, "text")))
+            n = np.bincount(owner, minlength=batch.num_rows)
+            chosen = [at + np.sort(np.random.default_rng(5).permutation(k)[:SAMPLE_WINDOWS]) for at, k in zip(np.cumsum(n) - n, n, strict=True)]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), [len(c) for c in chosen]))
+            raw = pa.array([codes[k].tobytes() for c in chosen for k in c], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(rows), column(batch, "lang").take(rows), raw], names=["doc_id", "lang", "raw"])
+
+    # only the windows come to the driver, rows * SAMPLE_WINDOWS of WINDOW bytes at most
+    table = bounded_sample(labelled, rows).mapInArrow(pick, "doc_id long, lang string, raw binary").toArrow()
+    if not table.num_rows:
         return None
-    table = sample.sort_by("doc_id").combine_chunks()
-    data, offsets = byte_view(table.column("text").combine_chunks())
-    codes, owner = windows(data, offsets)
-    labels = sorted(set(table.column("lang").to_pylist()))
-    y = np.searchsorted(labels, table.column("lang").to_pylist())
-    place = np.random.default_rng(5).permutation(len(owner))
-    order = place[np.argsort(owner[place], kind="stable")]
-    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    pick = np.sort(order[rank < SAMPLE_WINDOWS])
-    return train(codes[pick], y[owner[pick]].astype(np.int64), labels)
+    table = table.sort_by([("doc_id", "ascending"), ("raw", "ascending")])
+    codes = np.frombuffer(b"".join(table["raw"].to_pylist()), np.uint8).reshape(-1, WINDOW)
+    labels = sorted(set(table["lang"].to_pylist()))
+    return train(codes, np.searchsorted(labels, table["lang"].to_pylist()).astype(np.int64), labels)
 
 
 def language_id(docs: DataFrame, network: Network | None) -> DataFrame:
