@@ -3,7 +3,7 @@
 The kernel of two words counts the letter triples that occur in both, in order and not necessarily adjacent: a triple
 that spans s characters counts ``DECAY`` ** (s - 3) in each word, up to ``SPAN`` characters; characters that aren't
 letters only widen gaps. It is normalised and raised to ``POWER`` (still a kernel). So "i.d.i.o.t", "idxiot" and "idiot"
-are close. A text is compared with a landmark by its best word and by the sum and mean of its words' squares; runs of single characters ("i d i o t") are joined to a
+are close; a word with marks between its letters ("i--d--i--o--t") is compared without them as well. A text is compared with a landmark by its best word and by the sum and mean of its words' squares; runs of single characters ("i d i o t") are joined to a
 word as well. Landmarks are words of the training texts, the most telling of toxic ones first and no two alike.
 Comparisons with the landmarks, whitened by the landmarks' own kernel matrix, are the features of a linear support
 vector machine (squared hinge); a logistic curve fitted on a part set aside turns its margin into the score.
@@ -32,17 +32,25 @@ SPAN, DECAY, POWER = 6, 0.5, 3
 THRESHOLD = 0.3
 #: Lengths of words' beginnings that can be landmarks as well as whole words.
 STEMS = (5, 6, 7)
-#: Labelled rows that are learned from, at most, of each label.
-SAMPLE_ROWS = 3000
+#: Labelled rows that are learned from, at most, of each label; and characters of each (scoring takes whole texts).
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
 REMEMBERED = 200_000
 LETTERS = 43  # 26, 16 classes of other letters, and 0
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-_RUN = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+_RUN = re.compile(r"(?<!\S)(?:\S\s{1,4}){3,}\S(?!\S)")
+#: A word with marks between its letters.
+_MARKED = re.compile(r"(?:[^\W\d_][\W\d_]+){3,}[^\W\d_]")
+_MARKS = re.compile(r"[\W\d_]+")
 
 
 def words(text: str) -> list[str]:
+    """Words, runs of single characters as one word, and words with marks between most letters without these."""
     low = text.lower()
-    return low.split() + ["".join(x.split()) for x in _RUN.findall(low)]
+    out = low.split()
+    more = ["".join(x.split()) for x in _RUN.findall(low)]
+    if not low.isalnum():
+        more += [_MARKS.sub("", w) for w in out if not w.isalpha() and _MARKED.search(w)]
+    return out + more
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -247,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine
         return None
     picked = bounded_sample(own.where("toxic = 1"), rows).unionByName(bounded_sample(own.where("toxic = 0"), rows))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = text.join(F.broadcast(picked), "doc_id").limit(4 * rows).toArrow()  # picked: 2 * rows at most
+    # picked: 2 * rows at most; of several texts with one doc_id the first in order
+    found = text.join(F.broadcast(picked), "doc_id").withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    table = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
     order = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1] or ""))
     y = np.array([r[2] for r in order], np.int64)
     if len(set(y.tolist())) < 2:
@@ -259,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine
 def toxicity(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark)
     held = spark.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,7 @@ def test_gapped_insults():
     machine = tx.train([texts[i] for i in order], (order < 150).astype(np.int64), 0.25)
     clean = machine.scores([text() for _ in range(100)])
     assert (clean < 0.3).mean() > 0.95
-    score = machine.scores([text(w, v) for w, v in (("idiot", "MORON"), ("i.d.i.o.t", "m-oron"), ("i d i o t", "m o r o n"), ("wor*thl*ess", "idxiot"))])
+    score = machine.scores([text(w, v) for w, v in (("idiot", "MORON"), ("i.d.i.o.t", "m-oron"), ("i d i o t", "m o r o n"), ("i--d--i--o--t", "m**o**r**o**n"), ("i  d  i  o  t", "m  o  r  o  n"), ("wor*thl*ess", "idxiot"))])
     assert (score > np.quantile(clean, 0.95)).all(), (score, clean)
     assert score[0] >= 0.3
 
