@@ -43,8 +43,6 @@ Q = 20
 BLOCK = 2_500_000
 HOT = 4000
 LAST = 2**63 - 1
-#: Classes of a block that one packed row holds at least, on average.
-PACKED = 64
 
 _CODES = byte_codes(23)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -125,7 +123,6 @@ class Block:
         head = np.flatnonzero(new)
         self.order, self.of_class = order, np.cumsum(new) - 1
         self.head, self.part, self.high, self.short, self.least = head, part[head], high[head], short[head], doc[head]
-        self.part_start = np.searchsorted(self.part, np.arange(parts + 1))
 
     def strings(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start, doc_id) of each string of the anchors of some classes, sorted by the first and last."""
@@ -158,8 +155,8 @@ def bucket_rows(block: Block, pid: int, parts: int) -> pa.Table:
     """(part, pid, n, raw): the block's classes, packed by part."""
     block.classes(parts)
     rows = []
-    for part in np.unique(block.part):
-        a, b = block.part_start[part], block.part_start[part + 1]
+    own = np.unique(block.part)
+    for part, a, b in zip(own, np.searchsorted(block.part, own), np.searchsorted(block.part, own, "right"), strict=True):
         doc = block.least[a:b]
         raw = packed(np.diff(block.high[a:b], prepend=0).astype("<u4"), (block.short[a:b] & 0xFFFFFFFF).astype("<u4"), (block.short[a:b] >> 32).astype("u1"), doc.astype("<i8"))
         rows.append((int(part), pid, int(b - a), raw))
@@ -211,7 +208,7 @@ def told_of(block: Block, verdicts: pa.Table) -> np.ndarray:
     told = np.zeros(len(block.head), np.int64)
     for part, n, raw in zip(verdicts.column("part").to_pylist(), verdicts.column("n").to_pylist(), verdicts.column("raw").to_pylist(), strict=True):
         idx, flag = unpacked(raw, n, "<u4", "u1")
-        told[block.part_start[part] + idx] = flag
+        told[np.searchsorted(block.part, part) + idx] = flag
     return told
 
 
@@ -369,7 +366,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = id_and_text(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, total // BLOCK)
-    parts = max(1, min(blocks, BLOCK // 15 // PACKED))
+    parts = max(1, blocks)  # a part of all hashes then holds as many classes as a block, however large the corpus is
     n = shuffle_partitions(spark)
     one = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(distinct_in_task, "doc_id long, text string")
     texts = one.select(F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("pid"), "doc_id", "text").repartition(min(n, blocks) if blocks < n else n, "pid")

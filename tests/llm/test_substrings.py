@@ -41,7 +41,6 @@ def test_documents(spark, sf, monkeypatch):
 @pytest.mark.parametrize("hot", [4000, 5])
 def test_planted_passages(spark, hot, monkeypatch):
     monkeypatch.setattr(sub, "BLOCK", 6000)
-    monkeypatch.setattr(sub, "PACKED", 4)
     monkeypatch.setattr(sub, "HOT", hot)
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdeé "), rng.integers(2, 9)))
