@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that an Arrow batch of texts holds at most. Texts reach 100 kB and more, so batches stay small.
-TEXT_ROWS_PER_BATCH = 256
+#: Bytes that an Arrow batch to Python holds at most, unless a single row has more.
+BATCH_BYTES = 512 * 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,21 +32,27 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Lets Arrow batches to Python hold few rows, so that a worker's memory follows a batch of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to Python by bytes, so that long texts make batches of few rows.
+
+    The bound is the same for all operators: plans are lazy, so a bound of each one's own would depend on who is last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; one in /tmp only where that is unset (tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``. Only a session on one machine may do without."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/quarry-checkpoints"
-    return found.rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or "/tmp/quarry-checkpoints").rstrip("/")
 
 
 class Scratch:
-    """Intermediate tables written as Parquet in the shared folder, so that a lost executor costs no lineage."""
+    """Intermediate tables written as Parquet in the shared folder, so that a lost executor costs no lineage.
+
+    Plans that read them may run at any time, so the folder goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -57,6 +63,9 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.mode("overwrite").parquet(path)
+        if self.n == 1:
+            folder, files = self._folder(self.root)
+            files.deleteOnExit(folder)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
@@ -65,20 +74,18 @@ class Scratch:
         """Deletes a table of this folder that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            folder, files = self._folder(path)
+            files.delete(folder, True)
+
+    def _folder(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def table_partitions(df: DataFrame, least: int = 1) -> int:
-    """Partitions for a shuffle of whole texts: those of the scan, or the session's setting if that is more."""
-    return max(least, shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions())
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -135,11 +142,12 @@ def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 def bounded_sample(rows: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """At most ``n`` rows, the same ones each time: those of the least hashes of ``key``. For fitting models only.
 
-    The threshold is found from hashes alone, so no text is moved that isn't in the sample.
+    The threshold is found from hashes alone, so no text is moved that isn't in the sample. Of rows with one key that are
+    more than fit, those of the least hashes of all columns stay.
     """
     h = F.xxhash64(F.col(key), F.lit("sample"))
     top = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return rows.where(h <= F.lit(top if top is not None else -(2**63))).limit(n)
+    return rows.where(h <= F.lit(top if top is not None else -(2**63))).orderBy(h, F.xxhash64(*rows.columns)).limit(n)
 
 
 def crc_of_id(col: str = "doc_id"):

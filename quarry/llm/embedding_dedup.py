@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, bounded_sample, column, groups_of, shuffle_partitions
+from quarry.llm.common import Scratch, bounded_sample, column, groups_of, shuffle_partitions, small_batches
 from quarry.llm.components import Forest, connected_components
 
 LEAST = 0.9
@@ -374,7 +374,7 @@ def embedding_components(rows: DataFrame, scratch: Scratch | None = None) -> Dat
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding)."""
     spark = rows.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     vectors = usable(rows)
     members = scratch.save(vectors)
     points = scratch.save(members.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult")))

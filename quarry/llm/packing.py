@@ -258,7 +258,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, scr
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     held = spark.sparkContext.broadcast(places(plan(histogram, capacity)))  # rows follow the lengths, not the corpus
     rows = ranked(pieces, "length", sum(histogram.values()))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value

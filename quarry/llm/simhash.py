@@ -167,9 +167,7 @@ def links(points: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
 
 def components_by_value(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of all rows, and (fp, root, component_id) of all fingerprints."""
-    spark = docs.sparkSession
     rows = scratch.save(fingerprints(docs))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     points = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = scratch.save(connected_components(links(points, scratch, block), scratch))
     # A component's id: the smallest doc_id of its fingerprints. A repeated doc_id joins the fingerprints of its rows.

@@ -365,9 +365,7 @@ def verified_links(docs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
 
 def similar_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, node, a, b, n) of all rows, and (node, root) of the points that have a near duplicate."""
-    spark = docs.sparkSession
     rows = scratch.save(points(docs))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     distinct = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
     near = scratch.save(connected_components(candidates(distinct, scratch, block), scratch))
     # a fingerprint that several points share joins them as candidates as well
@@ -375,7 +373,6 @@ def similar_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tup
     one = scratch.save(one.join(near.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")))
     several = one.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
     links = verified_links(docs, scratch.save(one.join(several, "root", "left_semi").select("doc_id", "h", "node", "root", "n")), scratch)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return rows, scratch.save(connected_components(links, scratch))
 
 
