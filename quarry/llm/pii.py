@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import math
+import re
 import unicodedata
 import warnings
 
@@ -57,10 +58,28 @@ PATTERNS = (
     ("phone", rf"\+\d{{1,3}}{_GAP}(?:\d{{1,4}}{_GAP}){{1,4}}\d{{3,4}}(?![\p{{L}}\p{{N}}])|\(\d{{3}}\)[^\w\n]{{0,5}}\d{{3}}{_GAP}\d{{4}}(?![\p{{L}}\p{{N}}])|\+\d{{8,15}}(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}.-])(?:\d{{3}}[-. ])?\d{{3}}-\d{{4}}(?![\p{{L}}\p{{N}}])"),
     ("ssn", r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}])"),
     ("card", r"(?<![\p{L}\p{N}.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\p{L}\p{N}])"),
-    ("person", rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)?|(?:{'|'.join(FEMALE + MALE)}) \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)"),
+    ("person", rf"(?<!\p{{L}})(?=[A-Z])(?:(?:{'|'.join(TITLES)})\.? \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)?|(?:{'|'.join(FEMALE + MALE)}) \p{{Lu}}\p{{Ll}}[\p{{L}}'-]*+)"),
 )
-#: The expression has no group of its own that a kind needs; the card's separator is told by lookahead of both.
-PATTERN = "|".join(p.replace("([ -])\\d{4}\\1\\d{4}\\1", "(?: \\d{4} \\d{4} |-\\d{4}-\\d{4}-)") for _, p in PATTERNS)
+
+
+def guarded(patterns: tuple[tuple[str, str], ...]) -> str:
+    """All patterns as one expression without groups that a kind needs (the card's separator is told by both forms).
+
+    Patterns that never start after a letter share one look at the character before, which spares the inside of words.
+    """
+    out, run = [], []
+    for _, p in (*patterns, ("", "")):
+        p = p.replace("([ -])\\d{4}\\1\\d{4}\\1", "(?: \\d{4} \\d{4} |-\\d{4}-\\d{4}-)")
+        if p.startswith("(?<!") and "|" not in re.sub(r"\[[^]]*\]|\((?:[^()]|\([^()]*\))*\)", "", p):
+            run.append(p)
+            continue
+        out += [r"(?<!\p{L})(?:" + "|".join(run) + ")"] if run else []
+        out += [p] if p else []
+        run = []
+    return "|".join(out)
+
+
+PATTERN = guarded(PATTERNS)
 
 _DIGITS = "0123456789"
 _OTHER = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
