@@ -82,6 +82,32 @@ class Scratch:
         return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: Bits of the bitmap by which rows are told that can't be in a table: 16 for each of its keys, this many at most.
+MOST_BITS = 1 << 28
+
+
+def told_apart(rows: DataFrame, key: Column, known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key (a hash) may be one of ``known`` (key long), and those whose key is none, null among them.
+
+    So that of long rows only the few that matter are shuffled. The bitmap that goes to all tasks has 32 MB at most; for
+    tables of so many keys that it fills up, more rows, in the end all, are among the first.
+    """
+    bits = 1 << 15
+    n = known.count()
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(c, F.lit(bits)) + 1
+    own = known.select(place(F.col("key")).alias("place")).withColumn("bucket", F.bitmap_bucket_number("place"))
+    maps = own.repartition(shuffle_partitions(rows.sparkSession), "bucket").groupBy("bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    maps = F.broadcast(scratch.save(maps))
+    found = rows.withColumn("place", place(key)).join(maps, F.bitmap_bucket_number("place") == F.col("bucket"), "left")
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substr("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+    found = found.withColumn("hit", hit)
+    return found.where("hit").select(*rows.columns), found.where("not hit").select(*rows.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,8 +13,8 @@ as there; a text with fewer words is one shingle. Texts with equal sets of shing
 3. Verified links are joined to the components that are the result.
 
 A key's points are compared as they come from the sorted exchange; those of a key with more than ``BLOCK`` are passed on
-and dealt to groups of two blocks each, all pairs of blocks. A component of more than ``SHINGLES`` shingles is dealt in the
-same way. None is capped, and no group passes on more links than it has points; the work in a group of very many different
+and dealt to groups of two blocks each, all pairs of blocks. A component of more than ``SHINGLES`` shingles or
+``POINTS_OF_BLOCK`` points is dealt in the same way. None is capped, and no group passes on more links than it has points; the work in a group of very many different
 near copies grows with the square of their number.
 
 The chance that a pair is found as a candidate (measured in tests/llm/test_similar.py) grows with its similarity; README has
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.common import Scratch, byte_codes, byte_view, column, groups_of, id_and_text, mix64, shuffle_partitions, small_batches, whole_row
+from quarry.llm.common import Scratch, byte_codes, byte_view, column, groups_of, id_and_text, mix64, shuffle_partitions, small_batches, told_apart, whole_row
 from quarry.llm.components import Forest, connected_components
 from quarry.llm.language_id import spans
 from quarry.llm.simhash import index_of
@@ -40,8 +40,8 @@ WORDS, LEAST = 5, 0.8
 TABLES, SEGMENTS = 192, 2
 #: Differing bits of 128 up to which points are candidates; a similarity of 0.8 gives 19 on average, 4 more or less.
 NEAR = 36
-#: Points of a key that are compared as one group; shingles of a component's block.
-BLOCK, SHINGLES = 2048, 1_000_000
+#: Points of a key that are compared as one group; shingles and points of a component's block.
+BLOCK, SHINGLES, POINTS_OF_BLOCK = 2048, 1_000_000, 1024
 #: Bytes of texts that are hashed in one step.
 STEP = 2_000_000
 
@@ -150,7 +150,9 @@ class Keys:
     """Keys (32 bits) of fingerprints, one for each table."""
 
     def __init__(self) -> None:
-        self.index = index_of(np.arange(1 << 23)).astype(np.int32)
+        self.index = np.empty(1 << 23, np.int16)
+        for k in range(0, 1 << 23, 1 << 17):
+            self.index[k : k + (1 << 17)] = index_of(np.arange(k, k + (1 << 17)))
         self.weight = np.zeros((128, TABLES * SEGMENTS), np.float32)  # sums below 2^23 are exact
         for t, segments in enumerate(places()):
             for s, bits in enumerate(segments):
@@ -159,18 +161,23 @@ class Keys:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         raw = np.stack([a, b], 1).astype(">i8").view(np.uint8).reshape(-1, 16)
         word = (np.unpackbits(raw, axis=1).astype(np.float32) @ self.weight).astype(np.int32)
-        index = self.index[word].reshape(len(a), TABLES, SEGMENTS)
+        index = self.index[word].astype(np.int32).reshape(len(a), TABLES, SEGMENTS)
         key = np.broadcast_to(np.arange(TABLES, dtype=np.int32), (len(a), TABLES)).copy()
         for s in range(SEGMENTS):
             key = key << 12 | index[:, :, s]
         return key
 
 
+_KEYS: list[Keys] = []  # made once in each worker
+
+
 def keyed(distinct: DataFrame) -> DataFrame:
     """(key, a, b): each fingerprint under each of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys()
+        if not _KEYS:
+            _KEYS.append(Keys())
+        keys = _KEYS[0]
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
@@ -327,7 +334,8 @@ def verified_links(docs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     texts = id_and_text(docs).withColumn("h", F.xxhash64("text"))
-    own = of.select(F.col("doc_id").alias("id"), F.col("h").alias("own_h"), "node", "root")
+    texts, _ = told_apart(texts, F.col("h"), of.select(F.col("h").alias("key")), scratch)
+    own = of.select(F.col("doc_id").alias("id"), F.col("h").alias("own_h"), "node", "root").hint("merge")
     texts = texts.join(own, (F.col("h") == F.col("own_h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +351,7 @@ def verified_links(docs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), raw], names=["root", "node", "a", "b", "raw"])
 
     rows = texts.mapInArrow(sets, "root long, node long, a long, b long, raw binary")
-    sizes = of.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
+    sizes = of.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES), F.ceil(F.count("*") / POINTS_OF_BLOCK)).cast("int").alias("blocks"))
     sizes = scratch.save(sizes.withColumn("blocks", F.when(F.col("blocks") <= 1, 1).otherwise(2 * F.col("blocks"))))
     groups = dealt_pairs(sizes, rows, "root", "node").select("g", "p", "q", "own", "node", "a", "b", "raw")
 
@@ -408,12 +416,11 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession, "similar")
     rows, by_node = with_roots(docs, scratch)
-    # written first, so that Spark knows its size: what goes is a small part of a corpus, and is sent to the texts if small
-    gone = rows.join(by_node, "node").where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    gone = scratch.save(gone)
+    gone = scratch.save(rows.join(by_node, "node").where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     row = docs.select(whole_row(docs).alias("row"))
     doc_id = F.col("row").getField("doc_id").cast("long")
-    kept = row.where(doc_id.isNotNull()).join(gone, doc_id == F.col("gone"), "left_anti").select("row.*")
+    perhaps, clear = told_apart(row.where(doc_id.isNotNull()), F.xxhash64(doc_id), gone.select(F.xxhash64("gone").alias("key")), scratch)
+    kept = clear.unionByName(perhaps.join(gone.hint("merge"), doc_id == F.col("gone"), "left_anti")).select("row.*")
     nameless = docs.where(F.col("doc_id").cast("long").isNull())
     if not nameless.limit(1).count():
         return kept

@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarry.llm import similar
+from pyspark.sql import functions as F
+
+from quarry.llm import common, similar
 from quarry.llm.common import Scratch, byte_view, documents
 from quarry.llm.simhash import index_of
 
@@ -85,6 +87,7 @@ def test_components(spark, block, monkeypatch):
     order = rng.permutation(len(texts))
     if block == 8:
         monkeypatch.setattr(similar, "SHINGLES", 500)
+        monkeypatch.setattr(similar, "POINTS_OF_BLOCK", 4)
     docs = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in similar.similar_components(docs, block=block).collect()}
     slow = [slow_set(t) for t in texts]
@@ -143,3 +146,15 @@ def test_edges(spark, edge_docs, no_docs):
     rows = [(None, a, 1), (None, a, 2), (None, b, 3), (7, "named text of its own", 4), (None, "named text of its own", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
     assert sorted((r.doc_id or 0, r.text) for r in similar.keep_one(docs).collect()) == [(0, a), (0, b), (7, "named text of its own")]
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_rows_told_apart(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    rows = spark.range(40_000).selectExpr("if(id % 1000 = 7, null, id) as id", "xxhash64(id) as x").repartition(3)
+    known = spark.range(0, 40_000, 10).selectExpr("xxhash64(id) as key")
+    perhaps, clear = common.told_apart(rows, F.when(F.col("id").isNotNull(), F.xxhash64("id")), known, Scratch(spark, "test"))
+    one, other = perhaps.collect(), clear.collect()
+    assert len(one) + len(other) == 40_000 and perhaps.columns == rows.columns
+    assert {r.id for r in one} >= set(range(0, 40_000, 10)) and not {r.id for r in other} & set(range(0, 40_000, 10))
+    assert len(one) < (8_000 if most > 1 << 15 else 12_000)
