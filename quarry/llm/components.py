@@ -81,8 +81,8 @@ def contracted(links: DataFrame) -> DataFrame:
 SPREAD, MOST = 64, 200_000
 
 
-def with_least(pairs: DataFrame, n_pairs: int) -> DataFrame:
-    """(u, v, m): each pair (u, v) with the least v of its u. n_pairs: how many there are, at most.
+def with_least(pairs: DataFrame, n_pairs: int, *more: str) -> DataFrame:
+    """(u, v, m): each pair (u, v) with the least v of its u; and more columns. n_pairs: how many there are, at most.
 
     A node with more than ``spread`` pairs is dealt to several groups, by its v. There are at most n_pairs / spread such
     nodes, MOST or less, so they are broadcast.
@@ -92,9 +92,9 @@ def with_least(pairs: DataFrame, n_pairs: int) -> DataFrame:
     groups = F.ceil(F.col("n") / spread).cast("int")
     heavy = least.where(F.col("n") > spread).select("u", groups.alias("k"))
     deal = F.coalesce(F.pmod(F.xxhash64("v", F.lit("deal")), F.col("k")).cast("int"), F.lit(0))
-    dealt = pairs.join(F.broadcast(heavy), "u", "left").select("u", "v", deal.alias("g"))
+    dealt = pairs.join(F.broadcast(heavy), "u", "left").select("u", "v", *more, deal.alias("g"))
     targets = least.select("u", "m", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"))
-    return dealt.join(targets, ["u", "g"]).select("u", "v", "m")
+    return dealt.join(targets, ["u", "g"]).select("u", "v", "m", *more)
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:

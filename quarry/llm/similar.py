@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import Scratch, byte_codes, byte_view, column, groups_of, id_and_text, mix64, shuffle_partitions, small_batches, told_apart, whole_row
-from quarry.llm.components import Forest, connected_components
+from quarry.llm.components import Forest, connected_components, with_least
 from quarry.llm.language_id import spans
 from quarry.llm.simhash import index_of
 
@@ -378,9 +378,11 @@ def similar_groups(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tup
     near = scratch.save(connected_components(candidates(distinct, scratch, block), scratch))
     # a fingerprint that several points share joins them as candidates as well
     one = rows.groupBy("node").agg(F.min(F.struct("doc_id", "h", "a", "n")).alias("r")).select("node", "r.*")
-    one = scratch.save(one.join(near.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")))
-    several = one.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
-    links = verified_links(docs, scratch.save(one.join(several, "root", "left_semi").select("doc_id", "h", "node", "root", "n")), scratch)
+    one = scratch.save(one.join(near.withColumnRenamed("node", "a"), "a", "left"))
+    alone = one.where("root is null")
+    several = alone.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    of = one.where("root is not null").unionByName(alone.join(several, "a", "left_semi").withColumn("root", F.col("a")))
+    links = verified_links(docs, scratch.save(of.select("doc_id", "h", "node", "root", "n")), scratch)
     return rows, scratch.save(connected_components(links, scratch))
 
 
@@ -403,9 +405,10 @@ def with_roots(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[D
         more = rows.join(repeated, "doc_id").select("u", F.col("node").alias("v"))
         joined = scratch.save(connected_components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch))
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    root = scratch.save(least.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    ids = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, scratch.save(root.join(ids, "root").select("node", "root", "component_id"))
+    none = F.lit(2**63 - 1)  # a point without doc_id
+    root = scratch.save(least.join(joined, "node", "left").select("node", F.coalesce("least", none).alias("v"), F.coalesce("root", "node").alias("u")))
+    ids = with_least(root, root.count(), "node")
+    return rows, scratch.save(ids.select("node", F.col("u").alias("root"), F.when(F.col("m") != none, F.col("m")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
