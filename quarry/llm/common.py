@@ -69,7 +69,8 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         # Spark removes the shuffles of finished steps only when the driver's garbage is collected
-        self.spark.sparkContext._jvm.System.gc()
+        if self.n % 4 == 0:
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
