@@ -149,15 +149,17 @@ class Engine:
         vector = self._client().embed_query(query)
         points = self.points.read()
         hits = self.extensions.augmented(search.top_k(points, vector, k, filters), query)
-        hits = hits.withColumn("chunk_key", self.extensions.chunk_key(F.col("point_id")))
+        # the order that the extensions leave is kept; k rows, so one task numbers them
+        hits = hits.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk_key", self.extensions.chunk_key(F.col("point_id")))
         recalled = self.recall_memory(query, 5)
         refs = recalled.select(F.explode("refs").alias("r")).select(F.col("r.chunk_key").alias("chunk_key"))
-        hits = search.boosted(hits, refs, "chunk_key")
+        hits = search.boosted(hits, refs, "chunk_key").withColumn("noted", F.col("score") >= search.BOOST)
         hits = manifest.flag_stale(hits, self._ledger()).withColumn("detail", self.extensions.detail(search.detail(F.col("chunk_type"))))
         text = search.citation(F.col("file_path"), F.col("line_start"), F.col("chunk_key"), F.col("source_text"), F.col("stale"))
-        out = hits.select("chunk_key", F.col("detail").alias("detail_level"), "stale", "score", self.extensions.format(text).alias("formatted"))
-        out = out if detail_level == "auto" else out.where(F.col("detail_level") == detail_level)
-        return out.orderBy(F.desc("score"), "chunk_key")
+        out = hits if detail_level == "auto" else hits.where(F.col("detail") == detail_level)
+        # what a note refers to comes first, by score; the others stay in the order that they had
+        out = out.orderBy(F.desc("noted"), F.when(F.col("noted"), -F.col("score")), "place", "chunk_key")
+        return out.select("chunk_key", F.col("detail").alias("detail_level"), "stale", "score", self.extensions.format(text).alias("formatted"))
 
     def read_file(self, tier: str, path: str, line_start: int | None = None, line_end: int | None = None) -> DataFrame:
         wanted = self.spark.createDataFrame([(tier, path, line_start, line_end)], "tier string, path string, line_start int, line_end int")
@@ -190,15 +192,22 @@ class Engine:
         row = memory.saved(note)
         known = self.notes.read() if self.notes.exists() else self._empty(NOTES)
         self.notes.replace(memory.merged(known, row))
-        self.note_points.upsert(memory.embedded(row, self.config.embedding.dim))
+        self.note_points.upsert(self._note_points(row))
         return row.first()["memory_id"]
 
+    def _note_points(self, ledger: DataFrame) -> DataFrame:
+        """By the configured client, as queries are. A note whose embedding fails stays in the ledger for the next time."""
+        points = embedding.embed(memory.as_points(ledger), "note_text", self._factory())
+        return points.where("vector is not null")
+
     def recall_memory(self, query: str, k: int = 5) -> DataFrame:
+        if not 1 <= k <= 100:
+            raise ValueError("k is from 1 to 100")
         if not self.notes.exists():
             return self._empty("memory_id string, note_text string, refs array<struct<chunk_key:string,key_version:int>>, score double")
         lost = memory.missing(self.notes.read(), self.note_points.read())
         if lost.limit(1).count():
-            self.note_points.upsert(memory.embedded(lost, self.config.embedding.dim))
+            self.note_points.upsert(self._note_points(lost))
         hits = search.top_k(self.note_points.read(), self._client().embed_query(query), k, key="memory_id")
         return hits.select("memory_id", "note_text", "refs", "score")
 

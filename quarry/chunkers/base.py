@@ -128,9 +128,9 @@ def split_recursively(text: str, size: int, overlap: int = 0, separators: tuple[
 
 
 def place(text: str, piece: str, since: int) -> tuple[int, int, int]:
-    """First and last line of a piece, and the offset to look on from; (1, 1) if it isn't there."""
+    """Lines of a piece's first and last character, and the offset to look on from; (1, 1) if it isn't there."""
     at = text.find(piece, since)
     if at < 0:
         return 1, 1, since
-    first = text.count("\n", 0, at) + 1
-    return first, first + piece.count("\n"), at + 1
+    last = at + len(piece) - 1  # a line feed belongs to the line that it ends
+    return text.count("\n", 0, at) + 1, text.count("\n", 0, last) + 1, last + 1

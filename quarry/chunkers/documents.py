@@ -48,7 +48,7 @@ def segments(body: str) -> list[str]:
             held, fence = [], ""
         else:
             held.append(line)
-    return [s for s in [*out, "\n".join(held)] if s.strip()]
+    return [s.strip("\n") for s in [*out, "\n".join(held)] if s.strip()]
 
 
 def sized(body: str, size: int, overlap: int) -> list[str]:

@@ -73,6 +73,10 @@ def ctes(ws: list[str]) -> list[str]:
     return out
 
 
+#: Words that follow a list of tables and are no alias.
+ENDS_LIST = "where join inner left right full cross natural on using group order having limit offset union intersect except window fetch for returning set".split()
+
+
 def tables(ws: list[str]) -> set[str]:
     low, out = [w.lower() for w in ws], set()
     for k, w in enumerate(low[:-1]):
@@ -80,10 +84,13 @@ def tables(ws: list[str]) -> set[str]:
             j = k + 1
             while j < len(low) and low[j] in ("only", "if", "not", "exists", "table"):
                 j += 1
-            if j < len(ws) and re.match(r'[A-Za-z_"]', ws[j]) and low[j] not in NOT_NAMES:
+            while j < len(ws) and re.match(r'[A-Za-z_"]', ws[j]) and low[j] not in NOT_NAMES:
                 name, after = name_at(ws, j)
                 if not (after < len(ws) and ws[after] == "(" and w in ("from", "join")):
                     out.add(name)
+                after += after < len(ws) and low[after] == "as"
+                after += after < len(ws) and bool(re.match(r'[A-Za-z_"]', ws[after])) and low[after] not in ENDS_LIST
+                j = after + 1 if w == "from" and after < len(ws) and ws[after] == "," else len(ws)  # the next of a list
     if low[:1] == ["create"] and "index" in low and "on" in low:
         out.add(name_at(ws, low.index("on") + 1)[0])
     return out

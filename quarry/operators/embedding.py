@@ -184,7 +184,7 @@ def client(backend: str, **options: object) -> Client:
 
 def embed(rows: DataFrame, text: str, make: Callable[[], Client], in_flight: int | None = None, **options: object) -> DataFrame:
     """``rows`` with ``vector`` (null where the input failed for good); the client is made once in each partition."""
-    rows = rows.coalesce(in_flight) if in_flight else rows
+    rows = rows.repartition(in_flight) if in_flight else rows  # a shuffle, so that what comes before keeps its tasks
     names = rows.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

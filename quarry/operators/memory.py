@@ -33,7 +33,12 @@ def backfilled(ledger: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def embedded(ledger: DataFrame, dim: int) -> DataFrame:
-    return ledger.select("memory_id", F.col("text").alias("note_text"), parsed_stamp(F.col("refs_stamp")).alias("refs"), hash_embedding(F.col("text"), dim).alias("vector"))
+    """Points of notes with hash vectors."""
+    return as_points(ledger).withColumn("vector", hash_embedding(F.col("note_text"), dim))
+
+
+def as_points(ledger: DataFrame) -> DataFrame:
+    return ledger.select("memory_id", F.col("text").alias("note_text"), parsed_stamp(F.col("refs_stamp")).alias("refs"))
 
 
 def recall(points: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5) -> DataFrame:

@@ -14,8 +14,8 @@ from quarry.functions.vectors import cosine
 from quarry.operators.manifest import flag_stale
 
 BOOST = 10.0
-#: Queries of a batch, at most, and rows that are compared with them at once.
-QUERIES, BLOCK = 100_000, 4096
+#: Components of the queries that go to every task at once (32 MB), and rows that are compared with them at once.
+SENT, BLOCK = 4_000_000, 4096
 SUMMARY = ["imports", "class", "markdown_section", "xml_element"]
 
 
@@ -42,12 +42,14 @@ def top_k(points: DataFrame, query: list[float], k: int, filters: dict[str, obje
 def batch_top_k(points: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "point_id", vector: str = "vector") -> DataFrame:
     """(query_id, rank, key, score): the k nearest of each query, ties by key.
 
-    The stated queries (QUERIES at most) go to every task, which compares its rows with them in blocks of BLOCK and
-    passes on k rows a query; so what is shuffled doesn't grow with the points of a task. Null, zero and differently
-    sized vectors are near to nothing.
+    The stated queries go to every task, which compares its rows with them in blocks of BLOCK and passes on k rows a
+    query; so what is shuffled doesn't grow with the points of a task. Queries of more than SENT components in all are
+    answered in turns, each a scan of its own. Null, zero and differently sized vectors are near to nothing.
     """
-    if len(queries) > QUERIES:
-        raise ValueError(f"at most {QUERIES} queries at once")
+    turn = max(1, SENT // max([1, *(len(v) for _, v in queries)]))
+    if len(queries) > turn:
+        parts = (batch_top_k(points, queries[at : at + turn], k, key, vector) for at in range(0, len(queries), turn))
+        return reduce(DataFrame.unionByName, parts)
     if not queries:
         return points.limit(0).select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     ids = np.array([q for q, _ in queries], np.int64)

@@ -9,10 +9,14 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Versions of a table that stay, the current one among them.
+KEPT = 8
+
 
 class Table:
     def __init__(self, spark: SparkSession, root: str, key: list[str], partition_by: list[str] | None = None) -> None:
@@ -28,7 +32,15 @@ class Table:
         if not fs.exists(p):
             return None
         names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        return names[-1].split("-", 1)[1] if names else None
+        return self._text(f"{self.root}/pointers/{names[-1]}") if names else None
+
+    def _text(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def exists(self) -> bool:
         return self._current() is not None
@@ -37,10 +49,7 @@ class Table:
         version = self._current()
         if version is None:
             raise FileNotFoundError(f"no version of {self.root}")
-        fs, p = self._fs(f"{self.root}/versions/{version}/_schema")  # a version without rows may have no other file
-        stream = fs.open(p)
-        schema = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
+        schema = self._text(f"{self.root}/versions/{version}/_schema")  # a version without rows may have no other file
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{self.root}/versions/{version}")
 
     def replace(self, rows: DataFrame) -> None:
@@ -52,14 +61,49 @@ class Table:
         stream = fs.create(p)
         stream.write(rows.schema.json().encode())
         stream.close()
+        self._point(current, version)
+        self._vacuum()
+
+    def _number(self) -> int:
+        """That of the newest pointer; -1 without one."""
         fs, p = self._fs(f"{self.root}/pointers")
-        n = 0
-        if current is not None:
-            n = max(int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(p)) + 1
-        # a second writer that took the same number fails here, before readers see anything of it
-        if not fs.createNewFile(self._fs(f"{self.root}/pointers/{n:012d}-{version}")[1]):
+        return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=-1) if fs.exists(p) else -1
+
+    def _point(self, before: str | None, version: str) -> None:
+        """The next pointer, which is named by its number alone: of two writers that read one version the second fails.
+
+        It is written elsewhere and moved, so readers never see one that is empty.
+        """
+        n = self._number()
+        if before != self._current():
+            raise RuntimeError("another writer was first")
+        fs, draft = self._fs(f"{self.root}/drafts/{version}")
+        stream = fs.create(draft)
+        stream.write(version.encode())
+        stream.close()
+        fs.mkdirs(self._fs(f"{self.root}/pointers")[1])
+        target = self._fs(f"{self.root}/pointers/{n + 1:012d}")[1]
+        # the lock is a folder made for this number once; making it is what decides between two writers
+        if not self._first(f"{self.root}/locks/{n + 1:012d}") or not fs.rename(draft, target):
             raise RuntimeError("another writer was first")
 
+    def _first(self, path: str) -> bool:
+        fs, p = self._fs(path)
+        try:
+            fs.create(p, False).close()  # fails if it exists
+        except Py4JJavaError:
+            return False
+        return True
+
+    def _vacuum(self) -> None:
+        """Versions older than the ``KEPT`` newest go; readers that began before have had that many writes' time."""
+        fs, p = self._fs(f"{self.root}/pointers")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
+        for name in names[:-KEPT]:
+            old = self._text(f"{self.root}/pointers/{name}")
+            fs.delete(self._fs(f"{self.root}/versions/{old}")[1], True)
+            fs.delete(self._fs(f"{self.root}/pointers/{name}")[1], False)
+
     def upsert(self, rows: DataFrame) -> None:
         if self.exists():
             rows = self.read().join(rows.select(*self.key), self.key, "left_anti").unionByName(rows)
