@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import keys, text, vectors
 from quarry.operators import chunking, graph, manifest, memory, search, symbols
+from quarry.plans import goldens
 from quarry.plans import tables as t
 from quarry.sources import corpus
 from quarry.streaming import changes
@@ -242,7 +243,7 @@ DEAD = f"""{G_}, src AS (SELECT DISTINCT dst, src_qname, {TEST} AS test FROM ref
   cnt AS (SELECT c.*, count(src_qname) FILTER (NOT test) AS production, count(src_qname) FILTER (test) AS tests FROM cand c LEFT JOIN used USING (qualified_name) GROUP BY ALL)"""
 
 
-@register("dead_code", f"{DEAD} SELECT kind, qualified_name, file_path, chunk_id, tier, tests AS test_references, CASE WHEN tests > 0 THEN 'only_referenced_by_tests' ELSE 'no_references' END AS reason FROM cnt WHERE production = 0 ORDER BY qualified_name, tier, file_path, kind LIMIT 1000")
+@register("dead_code", f"{DEAD} SELECT kind, qualified_name, file_path, chunk_id, tier, tests AS test_references, CASE WHEN tests > 0 THEN 'only_referenced_by_tests' ELSE 'no_references' END AS reason FROM cnt WHERE production = 0 AND NOT regexp_matches(qualified_name, '(^|[.])__[^.]+__$') ORDER BY qualified_name, tier, file_path, kind LIMIT 1000")
 def dead_code(spark, d):
     return graph.dead_code(t.nodes(spark, d), t.refs(spark, d), ["live"], 1000)
 
@@ -282,9 +283,9 @@ def graph_files(spark, d):
     return t.nodes(spark, d).agg(F.count_distinct(F.struct("tier", "file_path")).alias("n"))
 
 
-@register("call_dedupe", f"{G_} SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind, tier, file_path, src_qname, dst, resolved FROM refs WHERE kind = 'calls' UNION ALL SELECT kind, tier, file_path, src_qname, dst, resolved FROM refs WHERE kind <> 'calls') GROUP BY kind")
+@register("call_dedupe", f"{G_} SELECT kind, count(*) AS n FROM (SELECT DISTINCT kind, tier, file_path, src_qname, dst, resolved FROM refs WHERE kind = 'calls' AND NOT (resolved AND dst LIKE '%9') UNION ALL SELECT kind, tier, file_path, src_qname, dst, resolved FROM refs WHERE kind <> 'calls' AND NOT (resolved AND dst LIKE '%9')) GROUP BY kind")
 def call_dedupe(spark, d):
-    refs = graph.kept_references(t.refs(spark, d).withColumn("in_project", F.lit(True)))
+    refs = graph.kept_references(t.refs(spark, d).withColumn("in_project", ~F.col("dst").endswith("9")))
     return refs.groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -322,11 +323,18 @@ def memory_restore(spark, d):
     return memory.missing(memory.saved(notes), memory.saved(notes.where("conv_id % 3 <> 0"))).select("memory_id", "refs_stamp")
 
 
-@register("memory_recall")
+RECALL_SQL = f"""{NOTES}, own AS (SELECT DISTINCT memory_id, text FROM led), words AS (SELECT text FROM own UNION SELECT text FROM benchmark),
+  blocks AS (SELECT text, c, sha256(text || chr(0) || c) AS h FROM words, range(8) r(c)),
+  vec AS (SELECT text, list((('0x' || substr(h, (k * 16 + 1)::int, 16))::ubigint::decimal(20,0) - 9223372036854775808::decimal(20,0))::double ORDER BY c * 4 + k) AS v FROM blocks, range(4) q(k) GROUP BY text),
+  near AS (SELECT item_id AS query_id, memory_id, list_cosine_similarity(a.v, b.v) AS score FROM benchmark JOIN vec a USING (text), own JOIN vec b USING (text))
+  SELECT query_id, memory_id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id))::int AS rank FROM near) WHERE rank <= 5"""
+
+
+@register("memory_recall", RECALL_SQL)
 def memory_recall(spark, d):
     points = memory.embedded(memory.saved(t.notes(spark, d)), 32)
     rows = t.read(spark, d, "benchmark").select("item_id", vectors.hash_embedding(F.col("text"), 32).alias("v")).collect()
-    return memory.recall(points, [(r["item_id"], r["v"]) for r in rows], 5)
+    return memory.recall(points, [(r["item_id"], r["v"]) for r in rows], 5).withColumn("score", F.round("score", 6))
 
 
 @register("debounce_ops", "WITH o AS (SELECT user_id::varchar AS file_path, CASE WHEN event_type = 'error' THEN 'purge' ELSE 'index' END AS op, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT *, sum(first) OVER (PARTITION BY file_path ORDER BY ts, event_id) AS n_session FROM o) SELECT file_path, min(ts) AS started, max(ts) + INTERVAL 1 DAY AS ended, arg_max(op, (ts, event_id)) AS op, count(*) AS n FROM s GROUP BY file_path, n_session")
@@ -355,14 +363,20 @@ def redact_labels(spark, d):
     return t.read(spark, d, "documents").select("doc_id", text.without_labels(F.col("text")).alias("text"))
 
 
-@register("redact")
+ENTROPY_SQL = "list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: -(len(list_filter(string_split(w, ''), lambda y: y = c)) / length(w)) * log2(len(list_filter(string_split(w, ''), lambda y: y = c)) / length(w))))"
+LONG = "'[A-Za-z0-9+/_=-]{24,}'"
+
+
+@register("redact", f"""WITH l AS ({SQL['redact_labels']}), f AS (SELECT doc_id, text, regexp_extract_all(text, {LONG}) AS found, regexp_split_to_array(text, {LONG}) AS gaps FROM l),
+  m AS (SELECT *, list_transform(found, lambda w: CASE WHEN {ENTROPY_SQL} >= 3.5 THEN '***' ELSE w END) AS masked FROM f)
+  SELECT doc_id, CASE WHEN len(found) > 0 THEN array_to_string(list_transform(list_zip(gaps, masked), lambda z: z[1] || coalesce(z[2], '')), '') ELSE text END AS text FROM m""")
 def redact(spark, d):
     return t.read(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("text"))
 
 
-@register("token_entropy", "WITH c AS (SELECT item_id, unnest(string_split(text, '')) AS c FROM benchmark), n AS (SELECT item_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS m FROM c WHERE c <> '' GROUP BY item_id, c) SELECT item_id, round(-sum(n / m * log2(n / m)), 6) AS entropy FROM n GROUP BY item_id")
+@register("token_entropy", "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), n AS (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS m FROM c WHERE c <> '' GROUP BY doc_id, c), e AS (SELECT doc_id, round(-sum(n / m * log2(n / m)), 6) AS entropy FROM n GROUP BY doc_id) SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(entropy, 0) END AS entropy FROM documents LEFT JOIN e USING (doc_id)")
 def token_entropy(spark, d):
-    return t.read(spark, d, "benchmark").select("item_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
+    return t.read(spark, d, "documents").select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("entropy"))
 
 
 MODULE = "replace(regexp_replace(regexp_replace(p, '\\.py$', ''), '(^|/)__init__$', ''), '/', '.')"
@@ -377,7 +391,7 @@ def module_names(spark, d):
 
 
 def chunked(name: str) -> None:
-    @register(name)
+    @register(name, goldens.SQL[name])
     def query(spark, d):
         return chunking.chunk_fixture(spark, name.removesuffix("_chunks"))
 
@@ -392,7 +406,7 @@ def document_chunks(spark, d):
     return chunking.chunk_files(t.files(spark, d).drop("doc_id"), chunking.default_registry())
 
 
-@register("resolve_refs")
+@register("resolve_refs", goldens.SQL["resolve_refs"])
 def resolve_refs(spark, d):
     return chunking.fixture_references(spark)
 

@@ -76,7 +76,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[floa
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as modules, suppliers as classes in them, parts as functions of one module, customers as test functions."""
+    """Nations as modules, suppliers as classes in them with a method that nothing uses and one that Python calls, parts as
+    functions of one module, and test functions.
+    """
     node = lambda kind, name, path: [F.lit(kind).alias("kind"), name.alias("qualified_name"), path.alias("file_path"), F.lit(None).cast("string").alias("chunk_id"), F.lit("live").alias("tier")]
     c = lambda *x: F.concat(*(F.lit(p) if not p.startswith("$") else F.col(p[1:]).cast("string") for p in x))
     nation, supplier, part = (read(spark, sf_dir, t) for t in ("nation", "supplier", "part"))
@@ -84,6 +86,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = supplier.select(*node("class", c("nation.n", "$s_nationkey", ".S", "$s_suppkey"), c("src/nation/n", "$s_nationkey", ".py")))
     functions = part.select(*node("function", c("part.p", "$p_partkey"), F.lit("src/part.py")))
     tests = nation.select(*node("function", c("tests.test_n", "$n_nationkey", ".test_p", "$n_nationkey"), c("tests/test_n", "$n_nationkey", ".py")))
+    methods = [supplier.select(*node("method", c("nation.n", "$s_nationkey", ".S", "$s_suppkey", f".{m}"), c("src/nation/n", "$s_nationkey", ".py"))) for m in ("unused", "__len__")]
+    classes = classes.unionByName(methods[0]).unionByName(methods[1])
     top = spark.range(1).select(*node("module", F.lit("part"), F.lit("src/part.py")))
     return modules.unionByName(classes).unionByName(functions).unionByName(tests).unionByName(top)
 
@@ -91,6 +95,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 NODES_SQL = """nodes AS (
     SELECT 'module' AS kind, 'nation.n' || n_nationkey AS qualified_name, 'src/nation/n' || n_nationkey || '.py' AS file_path, NULL::varchar AS chunk_id, 'live' AS tier FROM nation
     UNION ALL SELECT 'class', 'nation.n' || s_nationkey || '.S' || s_suppkey, 'src/nation/n' || s_nationkey || '.py', NULL, 'live' FROM supplier
+    UNION ALL SELECT 'method', 'nation.n' || s_nationkey || '.S' || s_suppkey || m, 'src/nation/n' || s_nationkey || '.py', NULL, 'live' FROM supplier, (VALUES ('.unused'), ('.__len__')) v(m)
     UNION ALL SELECT 'function', 'part.p' || p_partkey, 'src/part.py', NULL, 'live' FROM part
     UNION ALL SELECT 'function', 'tests.test_n' || n_nationkey || '.test_p' || n_nationkey, 'tests/test_n' || n_nationkey || '.py', NULL, 'live' FROM nation
     UNION ALL SELECT 'module', 'part', 'src/part.py', NULL, 'live')"""
@@ -105,7 +110,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("l_linenumber") % 3 == 0
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     path = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("tests/test_n"), F.col("s_nationkey").cast("string"), F.lit(".py"))).otherwise(F.col("file"))
-    calls = out(lineitem.where("l_partkey % 10 <> 7").join(own, F.col("l_suppkey") == F.col("s_suppkey")), "calls", F.col("src_qname"), F.when(third, part).otherwise(F.concat(F.lit("part."), part)), ~third, path)
+    calls = out(lineitem.join(own, F.col("l_suppkey") == F.col("s_suppkey")), "calls", F.col("src_qname"), F.when(third, part).otherwise(F.concat(F.lit("part."), part)), ~third, path)
     imports = out(own, "imports", n("s_nationkey"), F.concat(F.lit("part.p"), F.col("s_suppkey").cast("string")), F.lit(True), F.col("file"))
     inherits = out(nation, "inherits", n("n_nationkey"), F.concat(F.lit("region.r"), F.col("n_regionkey").cast("string")), F.lit(True), F.concat(F.lit("src/nation/n"), F.col("n_nationkey").cast("string"), F.lit(".py")))
     defines = out(own, "defines", n("s_nationkey"), F.col("src_qname"), F.lit(True), F.col("file"))
@@ -116,7 +121,7 @@ REFS_SQL = """own AS (SELECT s_suppkey, s_nationkey, 'nation.n' || s_nationkey |
   refs AS (
     SELECT src_qname, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'part.' END || 'p' || l_partkey AS dst, 'calls' AS kind, l_linenumber % 3 <> 0 AS resolved, 'live' AS tier,
       CASE WHEN l_returnflag = 'R' THEN 'tests/test_n' || s_nationkey || '.py' ELSE file END AS file_path
-      FROM lineitem JOIN own ON l_suppkey = s_suppkey WHERE l_partkey % 10 <> 7
+      FROM lineitem JOIN own ON l_suppkey = s_suppkey
     UNION ALL SELECT 'nation.n' || s_nationkey, 'part.p' || s_suppkey, 'imports', true, 'live', file FROM own
     UNION ALL SELECT 'nation.n' || n_nationkey, 'region.r' || n_regionkey, 'inherits', true, 'live', 'src/nation/n' || n_nationkey || '.py' FROM nation
     UNION ALL SELECT 'nation.n' || s_nationkey, src_qname, 'defines', true, 'live', file FROM own)"""
