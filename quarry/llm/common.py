@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +117,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_HELD: dict[str, object] = {}
+
+
+def held_by_worker(owner: str, make: Callable[[], Any] = lambda: None) -> Any:
+    """What an operator keeps in a Python worker from task to task. A worker that comes to another operator drops it, so
+    that a reused worker holds the tables of one.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

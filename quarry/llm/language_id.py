@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_sample, byte_view, column, crc_of_id, documents, small_batches
+from quarry.llm.common import bounded_sample, byte_view, column, crc_of_id, documents, held_by_worker, small_batches
 
 WINDOW = 128
 WIDTHS = (2, 3, 4, 5)
@@ -160,6 +160,7 @@ def language_id(docs: DataFrame, network: Network | None) -> DataFrame:
     held = spark.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker("language_id")
         net = held.value
         for batch in batches:
             texts = column(batch, "text")
@@ -211,6 +212,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker("language_id")
         net = held.value
         for batch in batches:
             texts = column(batch, "text").fill_null("")

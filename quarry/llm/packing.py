@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, column, documents, id_and_text, shuffle_partitions, small_batches
+from quarry.llm.common import Scratch, column, documents, held_by_worker, id_and_text, shuffle_partitions, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -104,15 +104,12 @@ class Ids:
             return b"".join([known[w] for w in words])
 
 
-_IDS: dict[str, Ids] = {}
-
-
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of each document's ids, one row each."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _IDS.get(path) or _IDS.setdefault(path, Ids(path))
+        ids = held_by_worker(f"packing {path}", lambda: Ids(path))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []

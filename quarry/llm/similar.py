@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.common import Scratch, byte_codes, byte_view, column, groups_of, id_and_text, mix64, shuffle_partitions, small_batches, told_apart, whole_row
+from quarry.llm.common import Scratch, byte_codes, byte_view, column, groups_of, held_by_worker, id_and_text, mix64, shuffle_partitions, small_batches, told_apart, whole_row
 from quarry.llm.components import Forest, connected_components, with_least
 from quarry.llm.language_id import spans
 from quarry.llm.simhash import index_of
@@ -127,6 +127,7 @@ def points(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker("similar")
         for batch in batches:
             data, offsets = byte_view(column(batch, "text"))
             node, fp, size = [np.zeros(0, _U)], [np.zeros((0, 2), _U)], [np.zeros(0, np.int64)]
@@ -168,16 +169,11 @@ class Keys:
         return key
 
 
-_KEYS: list[Keys] = []  # made once in each worker
-
-
 def keyed(distinct: DataFrame) -> DataFrame:
     """(key, a, b): each fingerprint under each of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _KEYS:
-            _KEYS.append(Keys())
-        keys = _KEYS[0]
+        keys = held_by_worker("similar keys", Keys)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
@@ -339,6 +335,7 @@ def verified_links(docs: DataFrame, of: DataFrame, scratch: Scratch) -> DataFram
     texts = texts.join(own, (F.col("h") == F.col("own_h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("root", "node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_by_worker("similar")
         seen: set[int] = set()  # repeated rows of one point
         for batch in batches:
             batch = batch.filter(pa.array([not (k in seen or seen.add(k)) for k in column(batch, "node").to_pylist()], pa.bool_()))
