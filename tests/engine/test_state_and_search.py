@@ -1,0 +1,49 @@
+import pytest
+
+from quarry.chunkers import scripts
+from quarry.chunkers.base import place
+from quarry.operators import search
+from quarry.plans import tables
+from quarry.sources.state import KEPT, Table
+
+
+def test_of_two_writers_of_one_version_the_second_fails(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), ["k"])
+    table.replace(spark.createDataFrame([(1, "a")], "k int, v string"))
+    before = table._current()
+    table.replace(spark.createDataFrame([(2, "b")], "k int, v string"))
+    with pytest.raises(RuntimeError, match="first"):
+        table._point(before, "late")
+    assert not table._first(f"{table.root}/locks/{1:012d}")  # the number that the second writer would have taken
+    assert [r.k for r in table.read().collect()] == [2]
+
+
+def test_old_versions_go(spark, tmp_path):
+    table = Table(spark, str(tmp_path / "t"), ["k"])
+    for k in range(KEPT + 3):
+        table.upsert(spark.createDataFrame([(k, "x")], "k int, v string"))
+    assert sorted(r.k for r in table.read().collect()) == list(range(KEPT + 3))
+    assert len([p for p in (tmp_path / "t" / "versions").iterdir() if p.is_dir()]) == KEPT
+
+
+@pytest.mark.parametrize(
+    ("sql", "names"),
+    [("SELECT * FROM a, b", {"a", "b"}), ("SELECT * FROM a x, b AS y, c WHERE x.i = y.i", {"a", "b", "c"}), ("SELECT * FROM a JOIN b USING (i), c", {"a", "b"}), ("SELECT f(x, y) FROM a ORDER BY b, c", {"a"})],
+)
+def test_tables_of_a_list(sql, names):
+    assert scripts.tables(sql.replace(",", " , ").replace("(", " ( ").replace(")", " ) ").split()) >= names
+    assert "b" not in scripts.tables("SELECT f ( x ) FROM a ORDER BY b , c".split())
+
+
+def test_a_line_feed_belongs_to_its_line():
+    assert place("one\n\ntwo\n", "one\n\ntwo\n", 0)[:2] == (1, 3)
+    first = place("same\nsame\n", "same\n", 0)
+    assert first[:2] == (1, 1) and place("same\nsame\n", "same\n", first[2])[:2] == (2, 2)
+
+
+def test_queries_in_turns_equal_all_at_once(spark, sf, monkeypatch):
+    points, queries = tables.vectors(spark, sf), tables.query_vectors(spark, sf)
+    rows = lambda own: {(r.query_id, r.point_id, round(r.score, 9), r.rank) for r in search.batch_top_k(points, own, 3).collect()}
+    want = {r for r in rows(queries) if r[0] in {q for q, _ in queries[:7]}}
+    monkeypatch.setattr(search, "SENT", 2 * len(queries[0][1]))
+    assert len(queries) > 2 and rows(queries[:7]) == want
