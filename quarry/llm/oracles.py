@@ -32,3 +32,27 @@ WITH unit AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, count(*)
   placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source, b ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM rows_)
 SELECT doc_id, source, n_tokens, b AS block, round((b * total + upto - n_tokens) / goal, 9) AS at FROM placed WHERE b < blocks OR upto <= rest
 """
+
+#: Failures of each document, the 120 orders by joining letters, and each step's counts from all documents.
+FILTER_AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, length(t) AS points FROM d),
+  f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * points AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+  l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+  m AS (SELECT part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int AS mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic
+    FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+  x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+  steps AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(z) - 65) FOR z IN string_split(filter_order[1:step - 1], '') IF z <> '']), 0)::int AS before FROM orders, range(1, 6) r(step)),
+  counts AS (SELECT part, filter_order, step::int AS step, own,
+    sum(n) FILTER (mask & own = 0 AND mask & before = 0) AS kept, sum(n) FILTER (mask & own <> 0 AND mask & before = 0) AS removed,
+    sum(n) FILTER (mask & own <> 0 AND mask & before <> 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+    sum(good) FILTER (mask & own <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0) AS toxic_lost
+    FROM m, steps GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::bigint AS kept, coalesce(removed, 0)::bigint AS removed, coalesce(redundant, 0)::bigint AS redundant,
+  coalesce(unique_fails, 0)::bigint AS unique_fails, coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::bigint AS shapley FROM counts
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, fingerprints, language_id, license_scan, mixing, oracles, packing, pii, simhash, substrings, toxicity
+from quarry.llm import embedding_dedup, filter_audit, fingerprints, language_id, license_scan, mixing, oracles, packing, pii, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": substrings.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": packing.query,
     "op8_simhash": simhash.query,
     "op9_license_scan": license_scan.query,
+    "op11_filter_audit": filter_audit.query,
 }
 
-SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substrings": oracles.SUBSTRINGS}
+SQL: dict[str, str] = {"op2_mixing": oracles.MIXING, "op3_substrings": oracles.SUBSTRINGS, "op11_filter_audit": oracles.FILTER_AUDIT}
