@@ -56,3 +56,38 @@ SELECT part, filter_order, step, coalesce(kept, 0)::bigint AS kept, coalesce(rem
   coalesce(unique_fails, 0)::bigint AS unique_fails, coalesce(good_lost, 0)::bigint AS good_lost, coalesce(toxic_lost, 0)::bigint AS toxic_lost,
   coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::bigint AS shapley FROM counts
 """
+
+#: Nodes of all levels by recursion, of the sources' trees and then of the tree over them; each leaf's way up, changed and not.
+MANIFEST = """
+WITH RECURSIVE d AS (SELECT doc_id, source, [doc_id::varchar, source, lang, n_chars::varchar, text] AS was,
+    [doc_id::varchar, source, lang, n_chars::varchar, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')] AS now,
+    doc_id IS NOT NULL AND xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, [ascii(x)::ubigint FOR x IN string_split(doc_id::varchar, '')]),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1))))) % 5 = 0 AS hit FROM documents),
+  l AS (SELECT doc_id, source, coalesce(hit, false) AS hit, sha256(list_aggregate([coalesce(octet_length(encode(x)) || ':' || x, '-') FOR x IN was], 'string_agg', '')) AS leaf,
+    sha256(list_aggregate([coalesce(octet_length(encode(x)) || ':' || x, '-') FOR x IN now], 'string_agg', '')) AS changed FROM d),
+  p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM l),
+  nodes AS (SELECT 0 AS level, source, place, n, leaf AS node, NULL::varchar AS preimage FROM p
+    UNION ALL SELECT level + 1, source, place, n, sha256(pre), pre FROM (SELECT level, source, place // 16 AS place, (n + 15) // 16 AS n, string_agg(node, '' ORDER BY place) AS pre
+      FROM nodes WHERE n > 1 GROUP BY level, source, nodes.place // 16, (nodes.n + 15) // 16)),
+  tops AS (SELECT level AS height, source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+  crown AS (SELECT 0 AS level, place, n, node, NULL::varchar AS preimage FROM tops
+    UNION ALL SELECT level + 1, place, n, sha256(pre), pre FROM (SELECT level, place // 16 AS place, (n + 15) // 16 AS n, string_agg(node, '' ORDER BY place) AS pre
+      FROM crown WHERE n > 1 GROUP BY level, crown.place // 16, (crown.n + 15) // 16)),
+  ways AS (SELECT p.doc_id, p.leaf, p.place AS own, t.node AS subroot, p.source, t.place AS top, t.height, 0 AS level, CASE WHEN hit THEN changed ELSE p.leaf END AS h, ''::varchar AS proof,
+      t.height + (SELECT max(level) FROM crown) AS last FROM p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source
+    UNION ALL SELECT doc_id, leaf, own, subroot, source, top, height, level + 1, sha256(a || h || z), proof || a || z, last
+      FROM (SELECT w.*, coalesce(x.preimage, c.preimage)[1:64 * slot] AS a, coalesce(x.preimage, c.preimage)[64 * slot + 65:] AS z
+        FROM (SELECT *, CASE WHEN level < height THEN own // (16 ** least(level, height))::bigint ELSE top // (16 ** greatest(level - height, 0))::bigint END % 16 AS slot FROM ways WHERE level < last) w
+        LEFT JOIN nodes x ON w.level < w.height AND x.level = w.level + 1 AND x.source IS NOT DISTINCT FROM w.source AND x.place = w.own // (16 ** least(w.level + 1, w.height))::bigint
+        LEFT JOIN crown c ON w.level >= w.height AND c.level = w.level - w.height + 1 AND c.place = w.top // (16 ** greatest(w.level - w.height + 1, 0))::bigint))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM ways, (SELECT node AS root FROM crown WHERE n = 1) WHERE level = last
+"""
+
+#: All pairs of a query and another vector of its length.
+TOP_K = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::double)::bigint::double FOR x IN embedding] AS c, row_number() OVER () AS r FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.c, c.c)::bigint AS score FROM v q JOIN v c ON len(q.c) = len(c.c) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+  n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 10
+"""
