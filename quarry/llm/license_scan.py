@@ -4,7 +4,8 @@ A notice of n characters with k allowed edits is cut into k + 1 parts; by the pi
 edits of it holds one part unchanged. The parts are looked up exactly (one pass of ``bytes.find`` over a batch), and
 the text around each hit is verified by the ``regex`` library's bounded-error matching, which also gives the span. Edits
 must leave what tells a notice from its rivals: a span counts only if its notice's ``telling`` expression is found in it,
-so "under the mpl license" isn't the MIT license, and "apache license version 1.1" isn't version 2.
+so "under the mpl license" isn't the MIT license, "under the mit-0 license" neither, and "apache license version 1.1" isn't
+version 2.
 
 Texts are compared as words: A-Z are lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, and one space stands
 between two words. Null and empty texts have no words, no label and score 0. Rows with equal doc_id are scanned each
@@ -45,7 +46,7 @@ class Notice:
 
 #: The phrases and labels of the contract.
 BASE = (
-    Notice("under the mit license", "mit", 2, True, " mit "),
+    Notice("under the mit license", "mit", 2, True, " [a-z]{2,} mit [a-z]{5,} "),
     Notice("apache license version 2", "apache-2", 2, True, " [a-z]+ 2 (?:0 )?$"),
     Notice("cc by nc", "cc-by-nc", 0, True),
 )

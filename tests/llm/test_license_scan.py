@@ -99,6 +99,9 @@ def test_rivals(spark):
     texts = {
         "released under the MPL license": "",
         "released under the bit license": "",
+        "released under the mit-0 license": "",
+        "released under the x mit license": "",
+        "released under the mit a license": "",
         "released under the mit-licence": "mit",
         "Apache License, Version 1.1": "",
         "apache license version 1": "",
