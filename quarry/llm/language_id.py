@@ -206,8 +206,15 @@ def spans(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that get a language with LEAST_SCORE or more, by their own text."""
+    """The rows of ``docs``, all columns, that get a language with LEAST_SCORE or more, by their own text.
+
+    Without a row to learn from no text can be told from another, so that is an error unless the table is empty.
+    """
     spark, network = docs.sparkSession, fit(docs)
+    if network is None:
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no labelled text to learn languages from")
     small_batches(spark)
     held = spark.sparkContext.broadcast(network)
 

@@ -1,6 +1,7 @@
 from zlib import crc32
 
 import numpy as np
+import pytest
 
 from quarry.llm import language_id
 from quarry.llm.common import documents
@@ -75,3 +76,10 @@ def test_training_follows_the_gradient():
     shaped = net.filters.reshape(max(language_id.WIDTHS), language_id.EMBED, len(language_id.WIDTHS), language_id.FILTERS)
     for k, width in enumerate(language_id.WIDTHS):
         assert not shaped[width:, :, k].any() and shaped[:width, :, k].any()
+
+
+def test_without_labels_nothing_is_dropped_silently(spark, no_docs):
+    rows = spark.createDataFrame([(1, "some text", None), (2, "more text", None)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="no labelled text"):
+        language_id.accepted(rows)
+    assert language_id.accepted(no_docs).count() == 0
