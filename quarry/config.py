@@ -56,6 +56,7 @@ class Config(Strict):
     chunkers: dict[str, str] = {}
     embedding: Embedding = Embedding()
     debounce_ms: int = 1500
+    buckets: int = Field(16, gt=0)
     extensions: dict[str, dict[str, Any]] = {}
 
     @field_validator("project")

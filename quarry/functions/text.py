@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -61,13 +62,24 @@ def without_labels(text: Column) -> Column:
     return F.when(some, F.regexp_replace(F.regexp_replace(text, BEARER, f"Bearer {MASK}"), LABELLED, f"$1$2{MASK}")).otherwise(text)
 
 
+#: Where a long word begins; tried at the beginnings of words only, as most texts have none.
+LONG_START = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24}"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is evaluated a single time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def redacted(text: Column) -> Column:
     """Bearer tokens, labelled secrets, and long words of high entropy are masked."""
-    text = without_labels(text)
-    found = F.regexp_extract_all(text, F.lit(LONG_TOKEN), F.lit(0))
-    masked = F.transform(found, lambda w: F.when(entropy(w) >= LEAST_ENTROPY, F.lit(MASK)).otherwise(w))
-    whole = F.array_join(F.flatten(F.zip_with(F.split(text, LONG_TOKEN, -1), masked, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), "")
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+
+    def spliced(t: Column, found: Column) -> Column:
+        masked = F.transform(found, lambda w: F.when(entropy(w) >= LEAST_ENTROPY, F.lit(MASK)).otherwise(w))
+        return F.array_join(F.flatten(F.zip_with(F.split(t, LONG_TOKEN, -1), masked, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), "")
+
+    long = lambda t: once(F.regexp_extract_all(t, F.lit(LONG_TOKEN), F.lit(0)), lambda found: spliced(t, found))
+    return once(without_labels(text), lambda t: F.when(t.rlike(LONG_START), long(t)).otherwise(t))
 
 
 def average_line(parts: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.chunkers import documents, markup, python, scripts
 from quarry.chunkers.base import Chunk, Context
 from quarry.functions.keys import module_of
+from quarry.operators import resolution
 from quarry.operators.fixtures import FILES
 
 Chunker = Callable[[str, Context], list[Chunk]]
@@ -119,49 +120,10 @@ def raw_references(files: DataFrame) -> DataFrame:
     return named.mapInPandas(run, "tier string, file_path string, src_qname string, kind string, how string, target string")
 
 
-def inherited(nodes: DataFrame, bases: DataFrame, depth: int = 8) -> DataFrame:
-    """(cls, member, full): members that a class has from its bases, the nearest first, up to ``depth`` steps."""
-    methods = nodes.where("kind = 'method'").select(F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("base"), F.substring_index("qualified_name", ".", -1).alias("member"), F.col("qualified_name").alias("full"))
-    up = bases.select(F.col("src_qname").alias("cls"), F.col("dst").alias("base"))
-    out, step = None, up
-    for k in range(1, depth + 1):
-        found = step.join(methods, "base").select("cls", "member", "full", F.lit(k).alias("k"))
-        out = found if out is None else out.unionByName(found)
-        step = step.join(up.select(F.col("cls").alias("base"), F.col("base").alias("next")), "base").select("cls", F.col("next").alias("base")).distinct()
-        if not step.limit(1).count():
-            break
-    return out.groupBy("cls", "member").agg(F.min_by("full", F.struct("k", "full")).alias("full"))
-
-
 def resolved_references(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """References (src_qname, dst, kind, resolved, tier, file_path) after joins with the project's own names.
-
-    A symbol imported from a module outside the project becomes a reference to that module; a method is looked for in
-    its class, then in the class's bases; what can't be told keeps its last name, unresolved. References that are
-    known to lead outside are dropped.
-    """
-    raw = raw_references(files)
-    names = nodes.select(F.col("qualified_name").alias("target")).distinct().withColumn("own", F.lit(True))
-    tops = nodes.select(F.substring_index("qualified_name", ".", 1).alias("top")).distinct().withColumn("project", F.lit(True))
-    rows = raw.withColumn("top", F.substring_index("target", ".", 1)).join(names, "target", "left").join(tops, "top", "left")
-    bases = rows.where("kind = 'inherits' and own").select("src_qname", F.col("target").alias("dst"))
-    members = inherited(nodes, bases).select(F.concat_ws(".", "cls", "member").alias("target"), "full")
-    rows = rows.join(members, "target", "left")
-    parent = F.regexp_replace("target", r"\.[^.]*$", "")
-    leaf = F.substring_index("target", ".", -1)
-    outside = F.col("how").isin("module", "symbol", "name") & F.col("project").isNull()
-    known = F.col("own").isNotNull() | F.col("full").isNotNull()
-    dst = (
-        F.when(F.col("own"), F.col("target"))
-        .when(F.col("full").isNotNull(), F.col("full"))
-        .when((F.col("how") == "symbol") & outside, parent)
-        .when(F.col("kind") == "imports", F.col("target"))
-        .otherwise(F.when(outside, F.col("target")).otherwise(leaf))
-    )
-    out = rows.select("src_qname", dst.alias("dst"), "kind", (known | outside).alias("resolved"), (~outside).alias("in_project"), "tier", "file_path")
-    from quarry.operators.graph import kept_references
-
-    return kept_references(out)
+    """References (src_qname, dst, kind, resolved, tier, file_path) of all the files of a project."""
+    raw = raw_references(files).persist()
+    return resolution.resolve(raw, nodes, resolution.bases_of(raw, nodes))
 
 
 def fixture_references(spark: SparkSession) -> DataFrame:
@@ -170,4 +132,4 @@ def fixture_references(spark: SparkSession) -> DataFrame:
     files = fixture_files(spark, ".py")
     chunks = chunk_files(files, default_registry()).withColumn("point_id", F.concat_ws("#", "file_path", "identity"))
     nodes = derive_nodes(chunks)
-    return defines(chunks).unionByName(resolved_references(files, nodes).select("src_qname", "dst", "kind", "resolved", "tier", "file_path"))
+    return defines(chunks).unionByName(resolved_references(files, nodes))

@@ -17,6 +17,12 @@ def keys_of(name: Column) -> Column:
     return F.array_distinct(F.array(name, bare(name)))
 
 
+def importable_name(path: Column, top: Column) -> Column:
+    """The dotted name of a Python file from the top of its package on, ``top`` leading directories left out."""
+    parts = F.split(path, "/")
+    return module_of(F.array_join(F.slice(parts, top + 1, F.size(parts)), "/"))
+
+
 def derive_nodes(chunks: DataFrame) -> DataFrame:
     """Nodes of Python chunks: a module for each file, a class, method or function for each such chunk; repeats once."""
     module = module_of(F.col("file_path"))
@@ -56,9 +62,14 @@ def references(nodes: DataFrame, refs: DataFrame, name: str) -> DataFrame:
     leaf = name.rsplit(".", 1)[-1]
     rows = refs.where(F.col("kind").isin(USES) & F.col("dst").isin(name, leaf) & (F.col("src_qname") != name))
     test = is_test_path(F.col("file_path"))
-    counts = rows.agg(F.count_distinct(F.when(~test, F.col("src_qname"))).alias("production_references"), F.count_distinct(F.when(test, F.col("src_qname"))).alias("test_references"))
-    names = nodes.join(rows.select(F.col("src_qname").alias("qualified_name")).distinct(), "qualified_name", "left_semi").agg(F.array_sort(F.collect_set("qualified_name")).alias("referencing"))
-    return counts.select(F.lit(name).alias("qualified_name"), "*").join(names, F.lit(True))  # two tables of one row each
+    sources = rows.groupBy(F.col("src_qname").alias("qualified_name")).agg(F.max(~test).alias("production"), F.max(test).alias("test"))
+    known = nodes.select("qualified_name").distinct().withColumn("node", F.lit(True))
+    out = sources.join(known, "qualified_name", "left").agg(
+        F.count_if("production").alias("production_references"),
+        F.count_if("test").alias("test_references"),
+        F.array_sort(F.collect_set(F.when(F.col("node"), F.col("qualified_name")))).alias("referencing"),
+    )
+    return out.select(F.lit(name).alias("qualified_name"), "*")
 
 
 def sources_by_target(refs: DataFrame) -> DataFrame:
@@ -66,14 +77,6 @@ def sources_by_target(refs: DataFrame) -> DataFrame:
     return refs.where(F.col("kind").isin(USES)).select("dst", "src_qname", is_test_path(F.col("file_path")).alias("test")).distinct()
 
 
-def usage(candidates: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each candidate node with ``production`` and ``tests``: distinct sources under its full or bare name, less itself."""
-    by_name = candidates.select("qualified_name").distinct().select("qualified_name", F.explode(keys_of(F.col("qualified_name"))).alias("dst"))
-    used = by_name.join(sources_by_target(refs), "dst").where("src_qname <> qualified_name").select("qualified_name", "src_qname", "test").distinct()
-    counts = used.groupBy("qualified_name").agg(F.count_if(~F.col("test")).alias("production"), F.count_if(F.col("test")).alias("tests"))
-    return candidates.join(counts, "qualified_name", "left").fillna(0, ["production", "tests"])
-
-
 def module_usage(modules: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """Modules with the distinct sources of themselves and of all that is named below them."""
     pool = symbols.select("qualified_name").unionByName(modules.select("qualified_name")).distinct()
@@ -90,12 +93,27 @@ def dead_code(nodes: DataFrame, refs: DataFrame, tiers: list[str] | None = None,
     rows = pool if include_tests else pool.where(~is_test_path(F.col("file_path")))
     rows = rows if include_dunders else rows.where(~((F.col("kind") == "method") & is_dunder(F.col("qualified_name"))))
     rows = rows if include_entrypoints else rows.where(~((F.col("kind") == "module") & is_entry_module(F.col("file_path"))))
-    symbols = usage(rows.where("kind <> 'module'"), refs)
-    modules = module_usage(rows.where("kind = 'module'"), pool.where("kind <> 'module'"), refs)
-    dead = symbols.unionByName(modules).where("production = 0")
-    reason = F.when(F.col("tests") > 0, "only_referenced_by_tests").otherwise("no_references")
-    dead = dead.select(*NODE, F.col("tests").alias("test_references"), reason.alias("reason"))
-    return dead.orderBy("qualified_name", "tier", "file_path", "kind").limit(min(max_results, 1000))
+    symbols, modules = rows.where("kind <> 'module'"), rows.where("kind = 'module'")
+    named = pool.where("kind <> 'module'").select("qualified_name").unionByName(modules.select("qualified_name")).distinct()
+    keyed = named.select("qualified_name", F.explode(keys_of(F.col("qualified_name"))).alias("dst"))
+    test = is_test_path(F.col("file_path"))
+    used = refs.where(F.col("kind").isin(USES))
+    # a name is used if one of its sources is another: so the least and the greatest source tell, whatever their number
+    ends = used.where(~test).groupBy("dst").agg(F.min("src_qname").alias("lo"), F.max("src_qname").alias("hi"))
+    other = (F.col("lo") != F.col("qualified_name")) | (F.col("hi") != F.col("qualified_name"))
+    alive = keyed.join(ends, "dst").where(other).select("qualified_name").distinct()
+    above = alive.select(F.explode(dotted_prefixes(F.col("qualified_name"))).alias("qualified_name")).distinct()
+    dead = symbols.join(alive, "qualified_name", "left_anti").unionByName(modules.join(above, "qualified_name", "left_anti"))
+    dead = dead.select(*NODE).orderBy("qualified_name", "tier", "file_path", "kind").limit(min(max_results, 1000))
+    # tests are counted for the rows that are left, 1000 at most, and what is named below them
+    owners = dead.select(F.col("qualified_name").alias("owner"), (F.col("kind") == "module").alias("module")).distinct()
+    below = keyed.select("*", F.explode(dotted_prefixes(F.col("qualified_name"))).alias("owner")).join(F.broadcast(owners), "owner")
+    below = below.where(F.col("module") | (F.col("owner") == F.col("qualified_name"))).select("owner", "module", "qualified_name", "dst")
+    tests = used.where(test).select("dst", "src_qname")
+    counts = below.join(tests, "dst").where("src_qname <> qualified_name").groupBy("owner", "module").agg(F.count_distinct("src_qname").alias("test_references"))
+    dead = dead.join(counts, (F.col("qualified_name") == F.col("owner")) & ((F.col("kind") == "module") == F.col("module")), "left").fillna(0, ["test_references"])
+    reason = F.when(F.col("test_references") > 0, "only_referenced_by_tests").otherwise("no_references")
+    return dead.select(*NODE, "test_references", reason.alias("reason")).orderBy("qualified_name", "tier", "file_path", "kind")
 
 
 def tests_for(nodes: DataFrame, refs: DataFrame, symbol: str) -> DataFrame:
@@ -112,25 +130,29 @@ def tests_for(nodes: DataFrame, refs: DataFrame, symbol: str) -> DataFrame:
 def blast_radius(nodes: DataFrame, refs: DataFrame, target: str, depth: int = 3, max_results: int = 50) -> DataFrame:
     """(hop, node): what depends on the target, breadth first, at most max_results names, in order of name within a hop.
 
-    The frontier has at most max_results (500) names, so it is a list in each hop's filter, pushed to the scan.
+    The links (key, source) are made once: a reference is found by its full name, an import by what it is below as well. A
+    step joins them with its frontier, of max_results (500) names at most, so no more of them are kept than can be shown.
     """
     spark, depth, max_results = nodes.sparkSession, min(depth, 25), min(max_results, 500)
-    seen: dict[str, tuple] = {}
-    frontier, found = [target], []
-    for hop in range(1, max(0, depth) + 1):
-        if not frontier or len(found) >= max_results:
+    known = nodes.groupBy("qualified_name").agg(F.min(F.struct("tier", "file_path", "kind", "chunk_id")).alias("n")).persist()
+    prefixes = dotted_prefixes(F.col("dst"))
+    below = F.filter(F.slice(prefixes, 1, F.size(prefixes) - 1), lambda p: p.contains("."))
+    one = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
+    keys = F.concat(F.array(one(F.col("dst"), True)), F.when(F.col("kind") == "imports", F.transform(below, lambda p: one(p, False))).otherwise(F.array().cast("array<struct<key:string,whole:boolean>>")))
+    links = refs.select(F.col("src_qname").alias("qualified_name"), F.explode(keys).alias("k")).select("qualified_name", "k.key", "k.whole").distinct()
+    links = links.join(known.select("qualified_name"), "qualified_name", "left_semi").persist()
+    found = spark.createDataFrame([(0, target)], "hop int, qualified_name string")
+    frontier = found
+    for hop in range(1, depth + 1):
+        # under its last name a node is meant as a whole only
+        asked = frontier.select(F.explode(F.array(one(F.col("qualified_name"), True), one(bare(F.col("qualified_name")), True), one(F.col("qualified_name"), False))).alias("k")).select("k.*").distinct()
+        step = links.join(F.broadcast(asked), ["key", "whole"]).select("qualified_name").distinct()
+        step = step.join(F.broadcast(found.select("qualified_name")), "qualified_name", "left_anti")  # depth x 500 names at most
+        frontier = step.orderBy("qualified_name").limit(max_results).select(F.lit(hop).alias("hop"), "qualified_name").persist()
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+        if found.count() > max_results:
             break
-        names = sorted({n for f in frontier for n in (f, f.rsplit(".", 1)[-1])})
-        hit = F.col("dst").isin(names)
-        below = [f + "." for f in frontier if "." in f]
-        if below:
-            parents = F.slice(dotted_prefixes(F.col("dst")), 1, F.size(dotted_prefixes(F.col("dst"))) - 1)
-            hit = hit | ((F.col("kind") == "imports") & F.arrays_overlap(parents, F.lit([b[:-1] for b in below])))
-        sources = refs.where(hit).select(F.col("src_qname").alias("qualified_name")).where(~F.col("qualified_name").isin([target, *seen])).distinct()
-        rows = nodes.join(sources, "qualified_name", "left_semi").groupBy("qualified_name").agg(F.min(F.struct("tier", "file_path", "kind", "chunk_id")).alias("n"))
-        new = rows.orderBy("qualified_name").limit(max_results - len(found)).collect()
-        frontier = [r["qualified_name"] for r in new]
-        for r in new:
-            seen[r["qualified_name"]] = ()
-            found.append((hop, r["n"]["kind"], r["qualified_name"], r["n"]["file_path"], r["n"]["chunk_id"], r["n"]["tier"]))
-    return spark.createDataFrame(found, "hop int, kind string, qualified_name string, file_path string, chunk_id string, tier string")
+    first = found.where("hop > 0").orderBy("hop", "qualified_name").limit(max_results)
+    return first.join(known, "qualified_name").select("hop", "n.kind", "qualified_name", "n.file_path", "n.chunk_id", "n.tier").orderBy("hop", "qualified_name")

@@ -27,15 +27,20 @@ def diff(listing: DataFrame, ledger: DataFrame, live_tiers: list[str] | None = N
     return todo.unionByName(vanished(listing, ledger, live_tiers).select(*KEY, F.lit("purge").alias("action")))
 
 
-def apply_outcomes(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger after a batch of (tier, file_path, sha, mtime_ns, size, ok, chunk_ids).
+def outcome_rows(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger rows of a batch of (tier, file_path, sha, mtime_ns, size, ok, chunk_ids).
 
     A failed file keeps its former chunks but has the new sha, time and size, and state failed.
     """
     old = ledger.select(*KEY, F.col("chunk_ids").alias("_ids"))
     new = outcomes.join(old, KEY, "left")
     ids = F.when(F.col("ok"), F.col("chunk_ids")).otherwise(F.coalesce("_ids", F.array().cast("array<string>")))
-    new = new.select(*KEY, "sha", "mtime_ns", "size", F.size(ids).alias("n_chunks"), ids.alias("chunk_ids"), F.when(F.col("ok"), "indexed").otherwise("failed").alias("state"))
+    return new.select(*KEY, "sha", "mtime_ns", "size", F.size(ids).alias("n_chunks"), ids.alias("chunk_ids"), F.when(F.col("ok"), "indexed").otherwise("failed").alias("state"))
+
+
+def apply_outcomes(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger after a batch."""
+    new = outcome_rows(ledger, outcomes)
     return ledger.select(*new.columns).join(outcomes.select(*KEY), KEY, "left_anti").unionByName(new)
 
 

@@ -45,7 +45,12 @@ def checked_against(ops: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.withColumn("op", F.when(F.col("_there").isNull(), "purge").otherwise(F.col("op"))).drop("_there")
 
 
-def run(ops: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, late: str = "10 seconds", quiet: str = DEBOUNCE) -> StreamingQuery:
-    """Applies bursts of a stream of operations to the index, one micro-batch after the other, all that is there now."""
-    bursts = debounced(ops.withWatermark("ts", late), quiet)
-    return bursts.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(ops: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, late: str = "10 seconds", quiet: str | None = DEBOUNCE, every: str | None = None) -> StreamingQuery:
+    """Applies bursts of a stream of operations to the index, one micro-batch after the other.
+
+    quiet: None passes on each micro-batch as it is, for sources that have put together what belongs together. every: the
+    trigger's interval; None takes all that is there now, and ends.
+    """
+    bursts = debounced(ops.withWatermark("ts", late), quiet) if quiet else ops
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return bursts.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()

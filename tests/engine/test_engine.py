@@ -24,11 +24,11 @@ def names(df):
 def test_status_and_skip(engine):
     s = engine.index_status().first()
     assert s.indexed == 6 and s.failed == 0 and s.expected_chunks == engine.points.count() and not s.rebuild_needed
-    version = engine.points._current()
-    engine.reindex()
-    assert engine.index_status().first() == s
+    version = engine.store.snapshot().version
+    out = engine.reindex().first()
+    assert engine.index_status().first() == s and (out.disposition, out.indexed, out.skipped) == ("swept", 0, 6)
     ids = {r.point_id for r in engine.points.read().collect()}
-    assert version and len(ids) == s.expected_chunks
+    assert engine.store.snapshot().version == version and len(ids) == s.expected_chunks
 
 
 def test_search_ranks_the_same_text_first(engine):

@@ -10,7 +10,6 @@ from quarry.chunkers.base import Chunk
 from quarry.extension import Extension, Extensions, Tool
 from quarry.functions import keys, text, vectors
 from quarry.operators import chunking, embedding
-from quarry.sources.state import Table
 from quarry.streaming import changes
 
 
@@ -60,22 +59,6 @@ def test_hash_embedding_is_the_client(spark):
     assert row == pytest.approx(embedding.HashClient(10).embed_query("some é text"))
 
 
-def test_table_versions(spark, tmp_path):
-    t = Table(spark, str(tmp_path / "t"), ["k"])
-    assert not t.exists() and t.count() == 0
-    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    t.replace(rows((1, "a"), (2, "b")))
-    t.upsert(rows((2, "c"), (3, "d")))
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c"), (3, "d")]
-    t.delete(rows((1, "")))
-    t.delete(rows())
-    t.update(F.col("k") == 3, v=F.lit("z"))
-    assert sorted(map(tuple, t.read().collect())) == [(2, "c"), (3, "z")]
-    with pytest.raises(Exception):
-        t.replace(t.read().withColumn("v", F.raise_error(F.lit("no"))))
-    assert t.count() == 2
-
-
 def test_stream_equals_batch(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     rows = [("live", f"f{k % 3}", "purge" if k % 5 == 0 else "index", at + dt.timedelta(milliseconds=700 * k * (1 + k % 4)), k) for k in range(60)]
