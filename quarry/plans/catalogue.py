@@ -421,3 +421,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = manifest.flag_stale(search.top_k(points, list(query), 8), t.ledger(spark, sf_dir))
     text_ = search.citation(F.col("file_path"), F.col("line_start"), F.col("point_id"), F.col("source_text"), F.col("stale"))
     return hits.select("point_id", F.round("score", 6).alias("score"), "stale", text_.alias("formatted"))
+
+
+from quarry.plans import evolving  # noqa: E402, F401  it registers queries of its own
