@@ -35,8 +35,8 @@ from quarry.llm.common import Scratch, column, documents, held_by_worker, id_and
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words, and runs of them without white space, whose ids a worker remembers.
+REMEMBERED = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words of a lower-case text in Latin-1, as the tokenizer's pre-tokenizer splits them.
@@ -48,8 +48,8 @@ _UNSURE = re.compile("[\x1c-\x1f\x85\xa0]")
 class Ids:
     """Ids of a text as little-endian 32-bit bytes.
 
-    The tokenizer splits a text into words before anything else and treats each word alone, so the ids of words are
-    remembered. Texts beyond Latin-1, with characters of unsure class or with special tokens go to the tokenizer whole.
+    The tokenizer splits a text into words before anything else and treats each word alone, so the ids of words, and of
+    what stands between white space, are remembered. Texts beyond Latin-1, with characters of unsure class or with special tokens go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -92,16 +92,25 @@ class Ids:
             return self.whole(text)
         if _UNSURE.search(text) or any(t in text for t in self.special):
             return self.whole(text)
-        words = _WORDS.findall(text.lower())
+        runs = text.lower().split()  # no word has white space, so what stands between is looked up at once
         known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[r] for r in runs])
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, self._encode_words(new), strict=True))
-            return b"".join([known[w] for w in words])
+            self._learn([r for r in dict.fromkeys(runs) if r not in known])
+            return b"".join([known[r] for r in runs])
+
+    def _learn(self, runs: list[str]) -> None:
+        """Remembers the ids of new runs and of the words in them."""
+        known = self.known
+        parts = [(r, w) for r in runs if (w := _WORDS.findall(r)) != [r]]
+        words = dict.fromkeys([w for _, ws in parts for w in ws if w not in known])
+        words.update(dict.fromkeys(set(runs).difference(r for r, _ in parts)))
+        new = list(words)
+        known.update(zip(new, self._encode_words(new), strict=True))
+        known.update((r, b"".join([known[w] for w in ws])) for r, ws in parts)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -239,7 +248,8 @@ def places(bins: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
 def ranked(pieces: DataFrame, by: str, n_rows: int) -> DataFrame:
     """``pieces`` with ``rank``, 0, 1, ... within each value of ``by``, without the rows of a value meeting in a task."""
     salts = max(16, n_rows // 20_000)
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # equal rows differ in their number
+    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(salts)).cast("int"))
     counts = rows.groupBy(by, "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(by, "salt", F.coalesce("before", F.lit(0)).alias("before"))
@@ -251,7 +261,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, scr
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
-    pieces = scratch.save(tokenized_pieces(docs, path or public_tokenizers.path(TOKENIZER), capacity))
+    pieces = tokenized_pieces(docs, path or public_tokenizers.path(TOKENIZER), capacity)
+    pieces = scratch.save(pieces.withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     held = spark.sparkContext.broadcast(places(plan(histogram, capacity)))  # rows follow the lengths, not the corpus
     rows = ranked(pieces, "length", sum(histogram.values()))

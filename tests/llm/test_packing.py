@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import packing
@@ -113,3 +114,11 @@ def test_plan_holds_every_piece():
     assert dict(count) == histogram
     assert sum(t for t, _ in bins) <= packing.least_sequences(histogram, 100) + 2
     assert packing.plan({}, 100) == []
+
+
+def test_equal_rows_have_salts_of_their_own(spark):
+    pieces = spark.range(20_000).selectExpr("1L AS doc_id", "0 AS piece", "0L AS start", "7L AS length", "5L AS ids_crc32", "id AS row").repartition(4)
+    rows = packing.ranked(pieces, "length", 1_000_000).persist()
+    assert sorted(r.rank for r in rows.select("rank").collect()) == list(range(20_000))
+    salt = rows.select(F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(50)).alias("s")).groupBy("s").count()
+    assert salt.count() == 50 and salt.agg(F.max("count")).first()[0] < 600
