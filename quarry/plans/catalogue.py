@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import keys, text, vectors
 from quarry.operators import chunking, graph, manifest, memory, search, symbols
-from quarry.plans import goldens
 from quarry.plans import tables as t
 from quarry.sources import corpus
 from quarry.streaming import changes
@@ -390,27 +389,12 @@ def module_names(spark, d):
     return rows.select("file_path", keys.module_of(F.col("file_path")).alias("module"), keys.bare(keys.module_of(F.col("file_path"))).alias("bare"))
 
 
-def chunked(name: str) -> None:
-    @register(name, goldens.SQL[name])
-    def query(spark, d):
-        return chunking.chunk_fixture(spark, name.removesuffix("_chunks"))
-
-
-for _kind in ("python_chunks", "markdown_chunks", "sql_chunks", "xml_chunks", "js_chunks", "css_chunks", "text_chunks"):
-    chunked(_kind)
-
-
 @register("document_chunks")
 def document_chunks(spark, d):
     """All documents by the chunkers of their suffixes."""
     return chunking.chunk_files(t.files(spark, d).drop("doc_id"), chunking.default_registry())
 
 
-@register("resolve_refs", goldens.SQL["resolve_refs"])
-def resolve_refs(spark, d):
-    return chunking.fixture_references(spark)
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, line windows, stable keys, hash embedding, the nearest chunks to a text, with citations."""
     chunks = t.points(t.windows(t.files(spark, sf_dir)))
@@ -423,4 +407,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("point_id", F.round("score", 6).alias("score"), "stale", text_.alias("formatted"))
 
 
-from quarry.plans import evolving  # noqa: E402, F401  it registers queries of its own
+from quarry.plans import evolving, written  # noqa: E402, F401  they register queries of their own

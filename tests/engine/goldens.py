@@ -1,4 +1,4 @@
-"""Expected rows of the queries over the small project of ``operators.fixtures``: recorded, then checked line by line against its sources."""
+"""What the chunkers make of the small project of ``fixtures``: recorded, then checked line by line against its sources."""
 
 CHUNK = "file_path, chunk_type, identity, sub_ordinal::int AS sub_ordinal, line_start::int AS line_start, line_end::int AS line_end, metadata"
 CHUNK_NAMES = "file_path, chunk_type, identity, sub_ordinal, line_start, line_end, metadata"

@@ -1,12 +1,16 @@
 """Chunkers by hand-derived expectations on sources of our own."""
 
+import duckdb
+import goldens
 import pytest
+from fixtures import FILES
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.chunkers import documents, markup, python, scripts
 from quarry.chunkers.base import Chunk, Context, numbered, split_recursively, within_limit
-from quarry.operators.fixtures import FILES
+from quarry.operators import chunking, graph, resolution
 
 
 def brief(chunks):
@@ -99,3 +103,18 @@ def test_windows_of_text_and_styles():
 def test_imports_resolve_to_modules():
     r = python.raw_references("from . import a\nfrom .b import c\nfrom ...x import y\nfrom __future__ import annotations\nimport os.path as p\n", "pkg.sub.mod")
     assert r == [("pkg.sub.mod", "imports", "symbol", "pkg.sub.a"), ("pkg.sub.mod", "imports", "symbol", "pkg.sub.b.c"), ("pkg.sub.mod", "imports", "bare", "...x.y"), ("pkg.sub.mod", "imports", "module", "os.path")] or r[2][3] == "x.y"
+
+
+@pytest.mark.parametrize("kind", sorted(goldens.SQL))
+def test_small_project(spark, kind):
+    """Chunks and references of the fixture's files stay what was checked against its sources."""
+    suffix = {"python_chunks": ".py", "markdown_chunks": ".md", "sql_chunks": ".sql", "xml_chunks": ".xml", "js_chunks": ".js", "css_chunks": ".css", "text_chunks": ".txt", "resolve_refs": ".py"}[kind]
+    files = spark.createDataFrame([("live", p, c) for p, c in sorted(FILES.items()) if p.endswith(suffix)], "tier string, file_path string, content string")
+    chunks = chunking.chunk_files(files, chunking.default_registry())
+    if kind == "resolve_refs":
+        chunks = chunks.withColumn("point_id", F.concat_ws("#", "file_path", "identity"))
+        got = graph.defines(chunks).select(*resolution.REF).unionByName(chunking.resolved_references(files, graph.derive_nodes(chunks)))
+    else:
+        got = chunks.withColumn("metadata", F.to_json("metadata"))
+    want = duckdb.sql(goldens.SQL[kind])
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)

@@ -1,8 +1,8 @@
 import pytest
+from fixtures import FILES
 
 from quarry.api import Engine
 from quarry.config import Config
-from quarry.operators.fixtures import FILES
 
 
 @pytest.fixture(scope="module")
