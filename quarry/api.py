@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry import config as cfg
-from quarry.extension import Extensions
+from quarry.chunkers import markup
+from quarry.extension import Extensions, Source
 from quarry.functions.keys import point_id
-from quarry.operators import chunking, embedding, graph, manifest, memory, resolution, search, symbols
+from quarry.operators import chunking, embedding, graph, manifest, memory, resolution, search, symbols, vector_index
 from quarry.sources import corpus, tree
 from quarry.sources.store import Lease, Snapshot, Store, Table, Transaction, Work
 from quarry.streaming import changes, watch
@@ -52,6 +53,8 @@ class Engine:
         self.spark, self.config, self.extensions = spark, config, extensions or Extensions()
         self.registry, self.chunkers = chunking.default_registry(), dict(chunking.CHUNKERS)
         self.registry.override(config.chunkers)
+        if self.extensions.profiles():
+            self.chunkers["xml"] = partial(markup.xml, profiles=self.extensions.profiles())
         self.store = Store(spark, config.state_dir, config.buckets)
         self.points, self.ledger, self.nodes, self.raw, self.refs = (Table(self.store, name, KEY) for name in SWEPT)
         self.notes, self.note_points = (Table(self.store, name, ["memory_id"]) for name in ("notes", "note_points"))
@@ -77,13 +80,30 @@ class Engine:
 
     # indexing
 
+    def fingerprint(self) -> str:
+        return cfg.fingerprint(self.config, tuple(self.extensions.payload()))
+
+    def source(self, root: cfg.Root) -> Source:
+        return self.extensions.source(root.source, Source(tree.listing, tree.contents))
+
+    def tool(self, name: str, *args: Any, **more: Any) -> DataFrame:
+        """One of the extensions' tools."""
+        return self.extensions.tool(self, name).run(*args, **more)
+
+    def __enter__(self) -> Engine:
+        self.extensions.start(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.extensions.stop(self)
+
     def listing(self, root: cfg.Root) -> DataFrame:
         """(tier, file_path, mtime_ns, size) of the files in scope; nothing is read."""
-        files = tree.listing(self.spark, root.path, root.tier, tuple(self.config.exclude_dirs))
+        files = self.source(root).listing(self.spark, root.path, root.tier, tuple(self.config.exclude_dirs))
         return files.where(corpus.is_included(F.col("file_path"), self.config.include, self.config.exclude_globs))
 
     def rebuild_needed(self) -> bool:
-        return self.store.snapshot().info.get("fingerprint") != cfg.fingerprint(self.config)
+        return self.store.snapshot().info.get("fingerprint") != self.fingerprint()
 
     def reindex(self, tier: str | None = None) -> DataFrame:
         """Sweeps the tiers' files; returns what became of them, a row for each tier.
@@ -117,7 +137,7 @@ class Engine:
         The state says which tiers are done, so a rebuild that was cut off goes on where it stopped, if the configuration
         is the same.
         """
-        wanted = cfg.fingerprint(self.config)
+        wanted = self.fingerprint()
         status = self.store.snapshot().info.get("rebuild", {})
         if status.get("state") != "running" or status.get("fingerprint") != wanted:
             tx = self.store.begin()
@@ -137,6 +157,7 @@ class Engine:
         for name in SWEPT:
             if tx.base.exists(NEXT + name):
                 tx.move(NEXT + name, name)
+        tx.base.info.pop("index", None)  # it is of the old points
         rebuild = tx.base.info["rebuild"] | {"state": "done"}
         tx.commit(tx.base.info | {"fingerprint": wanted, "dim": self.config.embedding.dim, "rebuild": rebuild})
         return out
@@ -151,7 +172,7 @@ class Engine:
             own = work.save(tx.read(prefix + "ledger", LEDGER).where(F.col("tier") == root.tier))
             files = work.save(manifest.needs_reindex(self.listing(root), own))
             todo = (files if everything else files.where("action <> 'unchanged'")).drop("action")
-            todo = work.save(tree.contents(todo, root.path).where("content is not null").withColumn("sha", F.sha2("content", 512)))
+            todo = work.save(self.source(root).contents(todo, root.path).where("content is not null").withColumn("sha", F.sha2("content", 512)))
             same = None if everything else work.save(manifest.skipped_by_hash(todo, own).drop("content"))
             gone = work.save(manifest.vanished(files, own).select(*KEY))
             found = {**tx.base.info, **(info or {})}
@@ -182,9 +203,9 @@ class Engine:
         return counts
 
     def _points_of(self, chunks: DataFrame) -> DataFrame:
-        """Chunks with their key."""
+        """Chunks with their key and the extensions' columns."""
         key = point_id(self.config.project, F.col("tier"), F.col("file_path"), F.col("chunk_type"), F.col("identity"), F.col("sub_ordinal"))
-        return chunks.where("error is null").withColumn("point_id", key)
+        return chunks.where("error is null").withColumn("point_id", key).withColumns(self.extensions.payload())
 
     def _chunks_of(self, files: DataFrame) -> DataFrame:
         return chunking.chunk_files(files, self.registry, self.chunkers, self.config.project, self.config.embedding.max_input_tokens)
@@ -250,7 +271,7 @@ class Engine:
         tx = self.store.begin()
         with self.work() as work:
             files = self._ledger(tx.base).where((F.col("tier") == tier) & (F.col("state") == "indexed") & F.col("file_path").endswith(".py"))
-            files = work.save(tree.contents(files.select(*KEY), roots[tier].path).where("content is not null"))
+            files = work.save(self.source(roots[tier]).contents(files.select(*KEY), roots[tier].path).where("content is not null"))
             chunks = work.save(self._points_of(self._chunks_of(files)))
             tx.put_all(self._graph(tx, work, chunks, files, files.select(*KEY)))
             tx.commit()
@@ -316,7 +337,7 @@ class Engine:
         every: how often files are listed; None does it once, and ends. A tier of which more than ``max_events`` files have
         changed at once is swept, and all live tiers are every ``sweep_every`` seconds.
         """
-        live = [r for r in self.config.effective_roots() if r.policy == "live"]
+        live = [r for r in self.config.effective_roots() if r.policy == "live" and r.source is None]
         roots = self.spark.createDataFrame([(k, tree.opened(r.path)[1], r.tier) for k, r in enumerate(live)], "place int, root string, tier string")
         events = watch.stream(self.spark, [tree.opened(r.path)[1] for r in live], f"{self.config.state_dir}/watch", self.config.exclude_dirs, max_events)
         swept = {"at": time.monotonic()}
@@ -345,7 +366,7 @@ class Engine:
                 return {}
             self.mark(last)
             todo = last.where("op = 'index'")
-            read = [tree.contents(todo.where(F.col("tier") == r.tier).select(*KEY), r.path) for r in self.config.effective_roots()]
+            read = [self.source(r).contents(todo.where(F.col("tier") == r.tier).select(*KEY), r.path) for r in self.config.effective_roots()]
             read = work.save(reduce(DataFrame.unionByName, read))
             found = read.where("content is not null").withColumn("sha", F.sha2("content", 512))
             # a file that went between the event and now is purged
@@ -370,8 +391,7 @@ class Engine:
         now = self.store.snapshot()
         self._checked_dim(now)
         vector = self._client().embed_query(query)
-        points = now.read("points")
-        hits = self.extensions.augmented(search.top_k(points, vector, k, filters), query)
+        hits = self.extensions.augmented(self._nearest(now, vector, k, filters), query)
         # the order that the extensions leave is kept; k rows, so one task numbers them
         hits = hits.withColumn("place", F.monotonically_increasing_id()).withColumn("chunk_key", self.extensions.chunk_key(F.col("point_id")))
         recalled = self.recall_memory(query, 5)
@@ -384,12 +404,44 @@ class Engine:
         out = out.orderBy(F.desc("noted"), F.when(F.col("noted"), -F.col("score")), "place", "chunk_key")
         return out.select("chunk_key", F.col("detail").alias("detail_level"), "stale", "score", self.extensions.format(text).alias("formatted"))
 
+    def build_index(self) -> vector_index.Index:
+        """An inverted file of the points of now; later searches read its nearest cells, and what has changed since whole."""
+        with self.writing():
+            now = self.store.snapshot()
+            parts = {p["path"]: p["bucket"] for p in now.tables["points"]["parts"]}
+            points = now.read("points").withColumn("_bucket", self.store.bucket(KEY, now.tables["points"]["buckets"]))
+            index = vector_index.build(points, f"{self.config.state_dir}/index", self.config.embedding.dim)
+            tx = self.store.begin()
+            tx.commit(tx.base.info | {"index": {"path": index.path, "parts": parts}})
+        return index
+
+    def _nearest(self, now: Snapshot, vector: list[float], k: int, filters: dict[str, Any] | None) -> DataFrame:
+        """By the index, but for buckets that have changed since it was built: these are read whole."""
+        known = now.info.get("index")
+        points = now.read("points")
+        if known is None:
+            return search.top_k(points, vector, k, filters)
+        parts = {p["path"]: p["bucket"] for p in now.tables["points"]["parts"]}
+        changed = sorted({b for path, b in (parts | known["parts"]).items() if (path in parts) != (path in known["parts"])})
+        index = vector_index.opened(self.spark, known["path"])
+        hits = vector_index.search(self.spark, index, vector, k, search.matches(filters) & ~F.col("_bucket").isin(changed))
+        hits = hits.select(*points.columns, "score")
+        if changed:
+            hits = hits.unionByName(search.top_k(now.read("points", changed), vector, k, filters)).orderBy(F.desc_nulls_last("score"), "point_id").limit(k)
+        return hits
+
+    def _content(self, root: cfg.Root, path: str) -> str | None:
+        if root.source is None:
+            return tree.read_one(root.path, path)
+        wanted = self.spark.createDataFrame([(root.tier, path)], "tier string, file_path string")
+        return self.source(root).contents(wanted, root.path).first()["content"]
+
     def read_file(self, tier: str, path: str, line_start: int | None = None, line_end: int | None = None) -> DataFrame:
         """A span of one file; no other file is read or listed."""
         wanted = self.spark.createDataFrame([(tier, path, line_start, line_end)], "tier string, path string, line_start int, line_end int")
         roots = {r.tier: r for r in self.config.effective_roots()}
         safe = path and not path.startswith("/") and ".." not in path.split("/")
-        content = tree.read_one(roots[tier].path, path) if tier in roots and safe else None
+        content = self._content(roots[tier], path) if tier in roots and safe else None
         found = [(tier, path, content)] if content is not None else []
         return symbols.read_spans(wanted, self.spark.createDataFrame(found, "tier string, file_path string, content string"), list(roots))
 

@@ -37,6 +37,7 @@ class Root(Strict):
     path: str
     policy: Literal["live", "static"] = "live"
     version: str | None = None
+    source: str | None = None
 
     @model_validator(mode="after")
     def static_has_version(self) -> Root:
@@ -87,8 +88,9 @@ def secret(name: str | None) -> str | None:
     return value
 
 
-def fingerprint(config: Config) -> str:
-    """SHA-256 of what decides the vectors: if it changes, all must be embedded again."""
+def fingerprint(config: Config, payload: tuple[str, ...] = ()) -> str:
+    """SHA-256 of what decides the points (payload: more columns): if it changes, all must be embedded again."""
     e = config.embedding
     fields = {"epoch": EPOCH, "backend": e.backend, "model": e.model, "dim": e.dim, "endpoint": e.endpoint, "max_input_tokens": e.max_input_tokens, "tokenizer": e.tokenizer, "truncate": e.truncate, "document_prompt": e.document_prompt, "query_prompt": e.query_prompt, "chunkers": config.chunkers}
+    fields |= {"payload": sorted(payload)} if payload else {}
     return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.chunkers.markup import Profile
 from quarry.operators.chunking import Chunker, Registry
 
 
@@ -21,6 +22,16 @@ class Tool:
     run: Callable[..., DataFrame]
 
 
+@dataclass(frozen=True)
+class Source:
+    """listing(spark, root, tier, excluded directories): (tier, file_path, mtime_ns, size); contents(rows, root): these with
+    ``content``.
+    """
+
+    listing: Callable[..., DataFrame]
+    contents: Callable[[DataFrame, str], DataFrame]
+
+
 class Extension:
     """All hooks do nothing; a subclass overrides what it needs. Column hooks may give None: no opinion."""
 
@@ -31,7 +42,8 @@ class Extension:
         """name: (chunker, suffixes, pattern of paths it claims)"""
         return {}
 
-    def xml_profiles(self) -> tuple:
+    def xml_profiles(self) -> tuple[Profile, ...]:
+        """Asked of each element in turn, those of earlier extensions first; they go to the executors."""
         return ()
 
     def tools(self, engine: Any) -> list[Tool]:
@@ -52,10 +64,12 @@ class Extension:
     def classify_detail(self) -> Column | None:
         return None
 
-    def payload_columns(self) -> list[str]:
-        return []
+    def payload_columns(self) -> dict[str, Column]:
+        """More columns of the points, from those of a chunk; searches can filter by them. A change asks for a rebuild."""
+        return {}
 
-    def sources(self) -> dict[str, Callable]:
+    def sources(self) -> dict[str, Source]:
+        """Where the files of a root come from, by the name that its ``source`` says."""
         return {}
 
     def on_startup(self, engine: Any) -> None: ...
@@ -84,6 +98,32 @@ class Extensions:
             chunkers[name] = chunker
         self.items.append(extension)
 
+    def profiles(self) -> tuple[Profile, ...]:
+        return tuple(p for e in self.items for p in e.xml_profiles())
+
+    def payload(self) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for e in self.items:
+            twice = out.keys() & e.payload_columns().keys()
+            if twice:
+                raise ValueError(f"payload columns of these names exist: {sorted(twice)}")
+            out |= e.payload_columns()
+        return out
+
+    def source(self, name: str | None, default: Source) -> Source:
+        if name is None:
+            return default
+        found = {n: s for e in reversed(self.items) for n, s in e.sources().items()}
+        if name not in found:
+            raise ValueError(f"unknown source {name}")
+        return found[name]
+
+    def tool(self, engine: Any, name: str) -> Tool:
+        found = next((t for e in self.items for t in e.tools(engine) if t.name == name), None)
+        if found is None:
+            raise ValueError(f"unknown tool {name}")
+        return found
+
     def start(self, engine: Any) -> None:
         """Starts all; if one fails, those that were started are shut down in reverse."""
         done: list[Extension] = []

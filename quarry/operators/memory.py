@@ -41,7 +41,8 @@ def as_points(ledger: DataFrame) -> DataFrame:
     return ledger.select("memory_id", F.col("text").alias("note_text"), parsed_stamp(F.col("refs_stamp")).alias("refs"))
 
 
-def recall(points: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5) -> DataFrame:
+def recall(points: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k nearest notes of each query (query_id, v)."""
     return batch_top_k(points, queries, k, key="memory_id")
 
 

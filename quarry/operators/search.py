@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions.vectors import cosine
 from quarry.operators.manifest import flag_stale
@@ -39,45 +40,105 @@ def top_k(points: DataFrame, query: list[float], k: int, filters: dict[str, obje
     return points.where(matches(filters)).withColumn("score", cosine(F.col(vector), q)).orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
-def batch_top_k(points: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "point_id", vector: str = "vector") -> DataFrame:
-    """(query_id, rank, key, score): the k nearest of each query, ties by key.
-
-    The stated queries go to every task, which compares its rows with them in blocks of BLOCK and passes on k rows a
-    query; so what is shuffled doesn't grow with the points of a task. Queries of more than SENT components in all are
-    answered in turns, each a scan of its own. Null, zero and differently sized vectors are near to nothing.
+class Nearest:
+    """The k best points of each of some queries so far, by cosine, ties by key."""
+
+    def __init__(self, ids: list[int], vectors: list[list[float]], k: int) -> None:
+        self.ids, self.k = np.array(ids, np.int64), k
+        sizes = np.array([len(v) for v in vectors])
+        self.own = {int(n): np.flatnonzero(sizes == n) for n in set(sizes.tolist()) if n}
+        self.units = {n: self._unit(np.array([vectors[i] for i in at], np.float64)) for n, at in self.own.items()}
+        self.keys: list[np.ndarray] = [np.zeros(0, object)] * len(ids)
+        self.scores: list[np.ndarray] = [np.zeros(0)] * len(ids)
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.full_like(x, np.nan), where=size > 0)
+
+    def see(self, keys: pa.Array, vectors: pa.Array) -> None:
+        sizes = np.array([len(v) if v is not None else 0 for v in vectors.to_pylist()])
+        for n, at in self.own.items():
+            rows = np.flatnonzero(sizes == n)
+            for lo in range(0, len(rows), BLOCK):
+                part = rows[lo : lo + BLOCK]
+                x = self._unit(vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), n))
+                names = np.array(keys.take(pa.array(part)).to_pylist(), object)
+                scores = np.nan_to_num(self.units[n] @ x.T, nan=-np.inf)
+                for q, score in zip(at, scores, strict=True):
+                    least = self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf
+                    near = np.flatnonzero((score >= least) & (score > -np.inf))
+                    if len(near) > self.k:  # with all that tie
+                        near = near[score[near] >= np.partition(score[near], len(near) - self.k)[len(near) - self.k]]
+                    if len(near):
+                        both, own = np.concatenate([self.scores[q], score[near]]), np.concatenate([self.keys[q], names[near]])
+                        best = sorted(range(len(both)), key=lambda i: (-both[i], own[i]))[: self.k]  # noqa: B023
+                        self.scores[q], self.keys[q] = both[best], own[best]
+
+    def batch(self, key: str, kind: pa.DataType) -> pa.RecordBatch:
+        n = [len(s) for s in self.scores]
+        keys = np.concatenate(self.keys).tolist() if n else []
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(keys, kind), pa.array(np.concatenate(self.scores) if n else np.zeros(0))], names=["query_id", key, "score"])
+
+
+def batch_top_k(points: DataFrame, queries: DataFrame, k: int, key: str = "point_id", vector: str = "vector") -> DataFrame:
+    """(query_id, rank, key, score): the k nearest points of each query (query_id, v), ties by key.
+
+    Few queries, of SENT components at most, go to every task, which compares its rows with them in blocks and passes on
+    k rows a query; so the points stay where they are. More are dealt to blocks, the points to shards, and each pair
+    of both is a task's work. Null, zero and differently sized vectors are near to nothing.
     """
-    turn = max(1, SENT // max([1, *(len(v) for _, v in queries)]))
-    if len(queries) > turn:
-        parts = (batch_top_k(points, queries[at : at + turn], k, key, vector) for at in range(0, len(queries), turn))
-        return reduce(DataFrame.unionByName, parts)
-    if not queries:
-        return points.limit(0).select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    ids = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    rows = points.where(F.size(vector) == matrix.shape[1]).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, scores = [np.zeros(0, object)] * len(ids), [np.zeros(0)] * len(ids)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                size = np.linalg.norm(x, axis=1)
-                own, x = np.array(part.column(0).to_pylist(), object)[size > 0], x[size > 0] / size[size > 0, None]
-                for q, score in enumerate(matrix @ x.T):
-                    near = np.argpartition(-score, k - 1)[:k] if len(score) > k else np.arange(len(score))
-                    near = np.flatnonzero(score >= score[near].min()) if len(near) else near  # with all that tie
-                    both, own_keys = np.concatenate([scores[q], score[near]]), np.concatenate([keys[q], own[near]])
-                    best = sorted(range(len(both)), key=lambda i: (-both[i], own_keys[i]))[:k]  # noqa: B023
-                    scores[q], keys[q] = both[best], own_keys[best]
-        n = [len(s) for s in scores]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(keys).tolist(), kind), pa.array(np.concatenate(scores))], names=["query_id", key, "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
+    spark = points.sparkSession
     kind = to_arrow_type(points.schema[key].dataType)
-    near = rows.mapInArrow(run, f"query_id long, {key} {points.schema[key].dataType.simpleString()}, score double")
+    schema = f"query_id long, {key} {points.schema[key].dataType.simpleString()}, score double"
+    rows = points.where(F.size(vector) > 0).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.size("v") > 0).select(F.col("query_id").cast("long").alias("query_id"), F.col("v").cast("array<double>").alias("v"))
+    total = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    if total <= SENT:
+        sent = asked.collect()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = Nearest([r[0] for r in sent], [r[1] for r in sent], k)
+            for batch in batches:
+                near.see(batch.column(0), batch.column(1))
+            yield near.batch(key, kind)
+
+        near = rows.mapInArrow(run, schema)
+    else:
+        n_blocks, n_shards = -(-total // SENT), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # the number comes before the copies, so that all copies of a row have the same
+        rows, asked = (x.withColumn("number", F.xxhash64(F.monotonically_increasing_id())) for x in (rows, asked))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        shard, block = F.pmod("number", F.lit(n_shards)).cast("int"), F.pmod("number", F.lit(n_blocks)).cast("int")
+        own = rows.select(F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query_id"), "key", "v", shard.alias("shard"), each(n_blocks).alias("block"))
+        other = asked.select(F.lit(0).alias("kind"), "query_id", F.lit(None).cast(points.schema[key].dataType).alias("key"), "v", each(n_shards).alias("shard"), block.alias("block"))
+        cells = other.unionByName(own).withColumn("cell", F.col("shard") * n_blocks + F.col("block")).select("cell", "kind", "query_id", "key", "v")
+        cells = cells.repartition(n_blocks * n_shards, "cell").sortWithinPartitions("cell", "kind")
+
+        def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Of each cell first the queries, which are kept, then the points, which pass by."""
+            at, ids, vectors, near = None, [], [], None
+            for batch in batches:
+                own, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero((np.diff(own) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    if own[lo] != at:
+                        if near is not None:
+                            yield near.batch(key, kind)
+                        at, ids, vectors, near = own[lo], [], [], None
+                    part = batch.slice(lo, hi - lo)
+                    if kinds[lo] == 0:
+                        ids += part.column(2).to_pylist()
+                        vectors += part.column(4).to_pylist()
+                    elif ids:
+                        near = near or Nearest(ids, vectors, k)
+                        near.see(part.column(3), part.column(4))
+            if near is not None:
+                yield near.batch(key, kind)
+
+        near = cells.mapInArrow(cell, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -332,8 +332,8 @@ RECALL_SQL = f"""{NOTES}, own AS (SELECT DISTINCT memory_id, text FROM led), wor
 @register("memory_recall", RECALL_SQL)
 def memory_recall(spark, d):
     points = memory.embedded(memory.saved(t.notes(spark, d)), 32)
-    rows = t.read(spark, d, "benchmark").select("item_id", vectors.hash_embedding(F.col("text"), 32).alias("v")).collect()
-    return memory.recall(points, [(r["item_id"], r["v"]) for r in rows], 5).withColumn("score", F.round("score", 6))
+    queries = t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), vectors.hash_embedding(F.col("text"), 32).alias("v"))
+    return memory.recall(points, queries, 5).withColumn("score", F.round("score", 6))
 
 
 @register("debounce_ops", "WITH o AS (SELECT user_id::varchar AS file_path, CASE WHEN event_type = 'error' THEN 'purge' ELSE 'index' END AS op, ts, event_id, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 DAY THEN 0 ELSE 1 END AS first FROM events), s AS (SELECT *, sum(first) OVER (PARTITION BY file_path ORDER BY ts, event_id) AS n_session FROM o) SELECT file_path, min(ts) AS started, max(ts) + INTERVAL 1 DAY AS ended, arg_max(op, (ts, event_id)) AS op, count(*) AS n FROM s GROUP BY file_path, n_session")

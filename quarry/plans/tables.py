@@ -70,9 +70,9 @@ def one_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return list(read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-def query_vectors(spark: SparkSession, sf_dir: str) -> list[tuple[int, list[float]]]:
-    """The stated queries of a batch: every row whose id is divisible by 50."""
-    return [(r["vec_id"], list(r["embedding"])) for r in read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).orderBy("vec_id").collect()]
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, v): the stated queries of a batch, every row whose id is divisible by 50."""
+    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,13 @@ def test_a_line_feed_belongs_to_its_line():
     assert first[:2] == (1, 1) and place("same\nsame\n", "same\n", first[2])[:2] == (2, 2)
 
 
-def test_queries_in_turns_equal_all_at_once(spark, sf, monkeypatch):
+def test_queries_in_blocks_equal_all_at_once(spark, sf, monkeypatch):
     points, queries = tables.vectors(spark, sf), tables.query_vectors(spark, sf)
-    rows = lambda own: {(r.query_id, r.point_id, round(r.score, 9), r.rank) for r in search.batch_top_k(points, own, 3).collect()}
-    want = {r for r in rows(queries) if r[0] in {q for q, _ in queries[:7]}}
-    monkeypatch.setattr(search, "SENT", 2 * len(queries[0][1]))
-    assert len(queries) > 2 and rows(queries[:7]) == want
+    odd = spark.createDataFrame([(-1, [1.0, 2.0]), (-2, None), (-3, [0.0] * 64), (-4, [])], "query_id long, v array<double>")
+    queries = queries.selectExpr("query_id", "cast(v as array<double>) v").unionByName(odd).unionByName(queries.where("query_id = 0").selectExpr("999 AS query_id", "cast(v as array<double>) v"))
+    rows = lambda: sorted((r.query_id, r.point_id, round(r.score, 9), r.rank) for r in search.batch_top_k(points, queries, 3).collect())
+    want = rows()
+    assert {r[0] for r in want} == {r.query_id for r in queries.where("query_id >= 0").collect()} and all(sum(x[0] == q for x in want) == 3 for q in {r[0] for r in want})
+    for sent in (2 * 64, 64):
+        monkeypatch.setattr(search, "SENT", sent)
+        assert rows() == want

@@ -32,7 +32,7 @@ def test_it_is_audited_and_stored(spark, points, index):
 def test_recall_of_other_queries(spark, points, index):
     asked = points.where("point_id % 37 = 0 and point_id < 9000")
     queries = vector_index.queries_of(asked, "point_id", "vector", 12)
-    rows = [(r.point_id, r.vector) for r in asked.collect()]
+    rows = asked.selectExpr("point_id AS query_id", "vector AS v")
     want = {(r.query_id, r.point_id) for r in search.batch_top_k(points.where("point_id not between 9001 and 9005"), rows, 10).collect()}
     got = {(r.query_id, r.point_id) for r in vector_index.batch_search(spark, index, queries, 10).collect()}
     assert len(want & got) >= 0.93 * len(want)
