@@ -24,7 +24,7 @@ from quarry.chunkers import markup
 from quarry.extension import Extensions, Source
 from quarry.functions.keys import point_id
 from quarry.operators import chunking, embedding, graph, manifest, memory, resolution, search, symbols, vector_index
-from quarry.sources import corpus, tree
+from quarry.sources import corpus, snapshots, tree
 from quarry.sources.store import Lease, Snapshot, Store, Table, Transaction, Work
 from quarry.streaming import changes, watch
 
@@ -122,11 +122,37 @@ class Engine:
         return self.spark.createDataFrame(out, OUTCOMES)
 
     def _sweep_or_skip(self, root: cfg.Root) -> tuple:
+        """A static tier whose version is indexed is not swept again.
+
+        Its snapshot is taken with the first sweep. If it is lost it is taken again from the root; if the root still holds
+        what was indexed, nothing more is done, else it is swept. A root that is gone leaves the index as it is.
+        """
         now = self.store.snapshot()
-        built = now.info.get("versions", {}).get(root.tier)
-        if root.policy == "static" and built == root.version and self._has_files(now, root.tier):
-            return (root.tier, "skipped", 0, 0, 0, 0, 0)
-        return self.sweep(root, everything=root.policy == "static")
+        if root.policy != "static":
+            return self.sweep(root)
+        version, built = root.version or "", now.info.get("versions", {}).get(root.tier)
+        if built == version and self._has_files(now, root.tier):
+            if snapshots.has(now, root.tier, version):
+                return (root.tier, "skipped", 0, 0, 0, 0, 0)
+            self._take(root)
+            now = self.store.snapshot()
+            if not now.exists("static_files"):
+                return (root.tier, "skipped without its root", 0, 0, 0, 0, 0)
+            found = now.read("static_files").where((F.col("tier") == root.tier) & (F.col("version") == version)).select("file_path", "sha")
+            indexed = self._ledger(now).where(F.col("tier") == root.tier).select("file_path", "sha")
+            if found.isEmpty():
+                return (root.tier, "skipped without its root", 0, 0, 0, 0, 0)
+            if resolution.symmetric(found, indexed).isEmpty():
+                return (root.tier, "snapshot taken again", 0, 0, 0, 0, 0)
+        else:
+            self._take(root)
+        return self.sweep(root, everything=True)
+
+    def _take(self, root: cfg.Root) -> None:
+        """The snapshot of a static root's files."""
+        if root.source is None:
+            with self.work() as work:
+                snapshots.take(self.store, work, self.listing(root), root.path, root.tier, root.version or "")
 
     def _has_files(self, now: Snapshot, tier: str) -> bool:
         return not self._ledger(now).where((F.col("tier") == tier) & (F.col("state") == "indexed")).isEmpty()
@@ -151,6 +177,8 @@ class Engine:
             if root.tier in status["done"]:
                 out.append((root.tier, "rebuilt before", 0, 0, 0, 0, 0))
                 continue
+            if root.policy == "static":
+                self._take(root)
             info = {"rebuild": status | {"done": [*status["done"], root.tier]}}
             out.append(self.sweep(root, everything=True, prefix=NEXT, info=info, disposition="rebuilt"))
         tx = self.store.begin()
@@ -431,6 +459,11 @@ class Engine:
         return hits
 
     def _content(self, root: cfg.Root, path: str) -> str | None:
+        """A static tier's file from its snapshot, which stays when the root has gone or changed."""
+        if root.policy == "static":
+            found = snapshots.one(self.store.snapshot(), root.tier, root.version or "", path)
+            if found is not None:
+                return found
         if root.source is None:
             return tree.read_one(root.path, path)
         wanted = self.spark.createDataFrame([(root.tier, path)], "tier string, file_path string")

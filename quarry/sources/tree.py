@@ -32,7 +32,7 @@ def opened(root: str) -> tuple[afs.FileSystem, str]:
 def children(system: afs.FileSystem, base: str, directory: str, exclude: frozenset[str]) -> tuple[list[tuple[str, int, int]], list[str]]:
     """The files (path below the base, time, size) and the directories of a directory; a directory that is gone has none."""
     files, directories = [], []
-    for info in system.get_file_info(afs.FileSelector(f"{base}/{directory}".rstrip("/"), allow_not_found=True)):
+    for info in system.get_file_info(afs.FileSelector(f"{base}/{directory}".rstrip("/") or "/", allow_not_found=True)):
         path = f"{directory}/{info.base_name}".lstrip("/")
         if info.type == afs.FileType.File:
             files.append((path, info.mtime_ns or 0, info.size or 0))

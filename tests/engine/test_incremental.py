@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from quarry.api import Engine
 from quarry.config import Config, Root
 from quarry.operators import resolution
-from quarry.sources import tree
-from quarry.sources.store import Busy
+from quarry.sources import snapshots, tree
+from quarry.sources.store import Busy, Table
 
 FILES = {
     "a.py": "class A:\n    def go(self):\n        return 1\n",
@@ -200,11 +200,35 @@ def test_heal_does_the_least(spark, tmp_path, monkeypatch):
 
 def test_static_tiers(spark, tmp_path):
     write(tmp_path / "src", FILES)
-    config = lambda v: Config(project="demo", state_dir=str(tmp_path / "state"), roots=[Root(tier="pip", path=str(tmp_path / "src"), policy="static", version=v)])
-    assert Engine(spark, config("1")).reindex().first().indexed == 6
-    assert Engine(spark, config("1")).reindex().first().disposition == "skipped"
-    out = Engine(spark, config("2")).reindex().first()
-    assert (out.disposition, out.indexed) == ("swept", 6)
+    (tmp_path / "src" / "link.md").symlink_to("readme.md")
+    engine = lambda v: Engine(spark, Config(project="demo", state_dir=str(tmp_path / "state"), buckets=4, roots=[Root(tier="pip", path=str(tmp_path / "src"), policy="static", version=v)]))
+    one = engine("1")
+    assert one.reindex().first().indexed == 7 and one.reindex().first().disposition == "skipped"
+    contents = one.store.snapshot().read("static_contents").count()
+    assert contents == 6  # the link's is its target's
+    links = {r.file_path: r.link for r in one.store.snapshot().read("static_files").where("link is not null").collect()}
+    assert links == {"link.md": "readme.md"}
+    write(tmp_path / "src", {"a.py": "def other():\n    pass\n"})
+    two = engine("2")
+    out = two.reindex().first()
+    assert (out.disposition, out.indexed) == ("swept", 7)
+    now = two.store.snapshot()
+    assert now.read("static_files").count() == 14 and now.read("static_contents").count() == contents + 1  # versions share rows
+    assert one.read_file("pip", "a.py", 1, 1).first().text == "class A:" and two.read_file("pip", "a.py", 1, 1).first().text == "def other():"
+    assert {r.file_path: r.content for r in snapshots.files_of(now, "pip", "1").collect()}["a.py"] == FILES["a.py"]
+    # a lost snapshot is taken again, and nothing is embedded if the root is what was indexed
+    Table(two.store, "static_contents", ["sha"]).delete(now.read("static_contents").limit(3))
+    assert two.reindex().first().disposition == "snapshot taken again" and snapshots.has(two.store.snapshot(), "pip", "2")
+    with two.work() as work:
+        snapshots.drop(two.store, work, "pip", "2")
+    assert not snapshots.has(two.store.snapshot(), "pip", "2")
+    write(tmp_path / "src", {"a.py": "def third():\n    pass\n"})
+    assert two.reindex().first().disposition == "swept"
+    (tmp_path / "src").rename(tmp_path / "away")
+    assert two.reindex().first().disposition == "skipped" and two.read_file("pip", "a.py", 1, 1).first().text == "def third():"
+    with two.work() as work:
+        snapshots.drop(two.store, work, "pip", "2")
+    assert two.reindex().first().disposition == "skipped without its root" and two.index_status().first().indexed == 7
 
 
 def test_waiting_for_a_file(spark, tmp_path):
