@@ -516,14 +516,28 @@ class Engine:
         points = embedding.embed(memory.as_points(ledger), "note_text", self._factory())
         return points.where("vector is not null")
 
+    def restore_memory(self) -> int:
+        """Notes whose points are lost are embedded again, points that the ledger doesn't know become notes; how many of both."""
+        tx = self.store.begin()
+        if not tx.base.exists("notes"):
+            return 0
+        with self.work() as work:
+            notes, points = tx.read("notes"), tx.read("note_points")
+            lost = work.save(self._note_points(memory.missing(notes, points)))
+            unknown = work.save(memory.backfilled(notes, points).join(notes.select("memory_id"), "memory_id", "left_anti"))
+            n = lost.count() + unknown.count()
+            if n:
+                tx.put_all([("note_points", lost, lost, ["memory_id"]), ("notes", unknown, unknown, ["memory_id"])])
+                tx.commit()
+        return n
+
     def recall_memory(self, query: str, k: int = 5) -> DataFrame:
         if not 1 <= k <= 100:
             raise ValueError("k is from 1 to 100")
         if not self.notes.exists():
             return self._empty("memory_id string, note_text string, refs array<struct<chunk_key:string,key_version:int>>, score double")
-        lost = memory.missing(self.notes.read(), self.note_points.read())
-        if lost.limit(1).count():
-            self.note_points.upsert(self._note_points(lost))
+        if not memory.missing(self.notes.read(), self.note_points.read()).isEmpty():
+            self.restore_memory()
         hits = search.top_k(self.note_points.read(), self._client().embed_query(query), k, key="memory_id")
         return hits.select("memory_id", "note_text", "refs", "score")
 

@@ -195,8 +195,3 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Client], in_flight: int
     from pyspark.sql import types as T
 
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
-
-
-def usable_files(points: DataFrame) -> DataFrame:
-    """(tier, file_path, ok): a file is usable if all its chunks have vectors."""
-    return points.groupBy("tier", "file_path").agg(F.bool_and(F.col("vector").isNotNull()).alias("ok"))

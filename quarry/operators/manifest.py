@@ -67,10 +67,18 @@ def expected_chunks(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("tier").agg(F.coalesce(F.sum(F.when(F.col("state") == "indexed", F.col("n_chunks"))), F.lit(0)).cast("long").alias("expected"))
 
 
-def indexed_files(ledger: DataFrame, tier: str | None = None, suffix: str | None = None) -> Column | int:
-    rows = ledger.where("state = 'indexed'")
-    rows = rows.where(F.col("tier") == tier) if tier else rows
-    return (rows.where(F.col("file_path").endswith(suffix)) if suffix else rows).count()
+def indexed_files(ledger: DataFrame) -> DataFrame:
+    """(tier, suffix, n): how many files are indexed, by tier and suffix; a file without one has an empty suffix."""
+    suffix = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
+    return ledger.where("state = 'indexed'").groupBy("tier", suffix.alias("suffix")).agg(F.count("*").alias("n"))
+
+
+def outcome_summary(listing: DataFrame, ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(tier, indexed, failed, skipped, purged): what a sweep's plan and its outcomes (tier, file_path, ok) come to."""
+    plan = diff(listing, ledger).join(outcomes.select(*KEY, "ok"), KEY, "left")
+    done = F.col("action").isin("new", "changed")
+    count = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return plan.groupBy("tier").agg(count(done & F.col("ok"), "indexed"), count(done & ~F.col("ok"), "failed"), count(F.col("action") == "unchanged", "skipped"), count(F.col("action") == "purge", "purged"))
 
 
 def divergence(ledger: DataFrame, points: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, manifest, resolution, vector_index
+from quarry.functions import text
+from quarry.functions.text import lines
+from quarry.operators import graph, manifest, memory, resolution, vector_index
 from quarry.plans import tables as t
-from quarry.plans.catalogue import COS, W_, register
+from quarry.plans.catalogue import COS, NOTES, OUT, SQL, W_, batch, register, snapshots
 from quarry.sources import tree
 from quarry.sources.store import Store, Table, Work
 from quarry.streaming import watch
@@ -163,3 +165,29 @@ def heal_plan(spark, d):
     points = kept.select("tier", F.explode(F.sequence(F.lit(1), F.col("n_chunks"))).alias("n")).where("n > 0")
     nodes = ledger.where("tier = 'en'").select("tier")
     return manifest.divergence(ledger.withColumn("file_path", F.replace("file_path", F.lit(".md"), F.lit(".py"))), points, nodes)
+
+
+@register("sweep_outcomes", f"""SELECT tier, count(*) FILTER (action IN ('new', 'changed') AND ok) AS indexed, count(*) FILTER (action IN ('new', 'changed') AND NOT ok) AS failed,
+  count(*) FILTER (action = 'unchanged') AS skipped, count(*) FILTER (action = 'purge') AS purged
+  FROM ({SQL["manifest_diff"]}) LEFT JOIN ({OUT} SELECT tier, file_path, ok FROM oc) USING (tier, file_path) GROUP BY tier""")
+def sweep_outcomes(spark, d):
+    listing, ledger = snapshots(spark, d)
+    return manifest.outcome_summary(listing, ledger, batch(spark, d)[1])
+
+
+@register("indexed_files", f"{W_}, {t.LEDGER_SQL} SELECT tier, regexp_extract(file_path, '(\\.[^./]+)$', 1) AS suffix, count(*) AS n FROM ledger WHERE state = 'indexed' GROUP BY ALL")
+def indexed_files(spark, d):
+    return manifest.indexed_files(t.ledger(spark, d))
+
+
+@register("memory_backfill", f"{NOTES} SELECT memory_id, any_value(text) AS text, any_value(refs_stamp) AS refs_stamp, coalesce(arg_max(metadata, (conv_id, turn)) FILTER (conv_id % 3 <> 0), '{{}}') AS metadata FROM led GROUP BY memory_id")
+def memory_backfill(spark, d):
+    """The ledger of two conversations in three, and points of all: what the ledger is after a restore."""
+    notes = t.notes(spark, d)
+    return memory.backfilled(memory.saved(notes.where("conv_id % 3 <> 0")), memory.as_points(memory.saved(notes)))
+
+
+@register("minified_files", f"{W_} SELECT file_path, len(l) > 0 AND list_sum([length(x) FOR x IN l]) / greatest(1, len(l)) > 200 AS minified FROM lined WHERE ends_with(file_path, '.css')")
+def minified_files(spark, d):
+    files = t.files(spark, d).where(F.col("file_path").endswith(".css"))
+    return files.select("file_path", text.is_minified(F.col("file_path"), lines(F.col("content")), "css").alias("minified"))
