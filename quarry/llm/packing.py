@@ -1,14 +1,12 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion.
 
 Documents are tokenised where they lie; only one row per piece (its length, a checksum) goes on. Pieces are packed by
-length: the histogram of lengths has at most ``capacity`` rows whatever the corpus, and is solved on the driver. Bin
-completion takes the longest remaining piece and searches, by branch and bound, the fillings of the room beside it: sizes
-in falling order, so a filling by few large pieces comes before those by smaller ones that it dominates; a branch is cut
-when its least possible waste, found exactly from the sums that the pieces left can reach, is no better than the
-incumbent's. The first incumbent is the best-fit filling. A completed bin is repeated as often as the counts of its
-lengths allow. Each filling wastes the least there is. The best-fit solution of the whole is the incumbent of the whole; if
-it has more sequences than the lower bound ``least_sequences``, that by completions is made, and the better one stands.
-README has the distance to the bound.
+length: the histogram of lengths has at most ``capacity`` rows whatever the corpus, and is solved on the driver. The
+best-fit solution is the first incumbent; where it has more sequences than the lower bound ``least_sequences``, bin
+completion looks for a better one: the largest piece left and each undominated filling of the room beside it are a
+branch, bins are completed one after the other, a branch is cut by the waste that a better packing may have in all, and
+the search goes back to the last bin with another filling. It ends at the lower bound, when nothing is left to search,
+or after ``NODES`` nodes; what stands then is the best packing found.
 
 The plan deals ranks within a length to places. Ranks come from salted row numbers plus the salts' running counts, so
 a length that holds a third of all pieces is spread over tasks.
@@ -22,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +37,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct words, and runs of them without white space, whose ids a worker remembers.
 REMEMBERED = 500_000
 
+#: Fillings of a bin, steps to find them, nodes of the search over bins, and pieces up to which a filling is made once a node.
+FILLINGS, LOOKS, NODES, FEW = 32, 2000, 300, 400
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words of a lower-case text in Latin-1, as the tokenizer's pre-tokenizer splits them.
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t\n\r\x0b\x0ca-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -219,14 +221,112 @@ def filled(histogram: dict[int, int], capacity: int, fill: Callable[[int, np.nda
     return out
 
 
+def fillings(room: int, sizes: np.ndarray, counts: np.ndarray, least: int) -> list[list[int]]:
+    """Undominated fillings of ``room`` (positions in ``sizes``, falling) with a sum of ``least`` or more, the fullest first.
+
+    A filling is dominated if another piece still fits, or if a piece that is left can take the place of a smaller one, or
+    of two that together are no larger: these pack wherever that piece would have. Sums that the pieces left can't
+    reach are not looked for. FILLINGS are taken at most, those with large pieces first, and LOOKS steps are made.
+    """
+    sums, found = reachable(room, sizes, counts), []
+    values, has = sizes.tolist(), counts.tolist()
+
+    rising = values[::-1]
+
+    def free(taken: dict[int, int], lo: int, hi: int) -> bool:
+        """Whether a piece that is left has a size from lo to hi."""
+        at = bisect_left(rising, lo)
+        while at < len(rising) and rising[at] <= hi:
+            k = len(rising) - 1 - at
+            if has[k] > taken.get(k, 0):
+                return True
+            at += 1
+        return False
+
+    def undominated(taken: dict[int, int], left: int) -> bool:
+        own = [values[k] for k, n in taken.items() for _ in range(min(n, 2))]
+        two = {x + y for i, x in enumerate(own) for y in own[i + 1 :]}
+        return not (free(taken, 0, left) or any(free(taken, a + 1, a + left) for a in own) or any(free(taken, a, a + left) for a in two))
+
+    stack: list[tuple[int, int, dict[int, int]]] = [(0, room, {})]
+    looks = 0
+    while stack and len(found) < FILLINGS and looks < LOOKS:
+        k, left, taken = stack.pop()
+        k, looks = max(k, bisect_left(values, -left, key=lambda v: -v)), looks + 1  # larger ones don't fit
+        if not (sums[k] & ((1 << (left + 1)) - 1)) >> max(0, least - (room - left)):
+            continue
+        if k == len(values):
+            if undominated(taken, left):
+                found.append((left, [p for p, n in taken.items() for _ in range(n)]))
+            continue
+        for n in range(min(has[k], left // values[k]) + 1):  # more pieces of a size are looked at first
+            stack.append((k + 1, left - n * values[k], {**taken, k: n} if n else taken))
+    return [f for _, f in sorted(found, key=lambda x: x[0])]
+
+
+def improved(histogram: dict[int, int], capacity: int, n_best: int, bound: int, nodes: int = NODES) -> list[tuple[int, list[int]]] | None:
+    """A packing into fewer than ``n_best`` sequences, by branch and bound over bins; None if none is found.
+
+    A node is the multiset of pieces that are left. Its branches are the undominated fillings beside the largest piece; a
+    filling is repeated as often as the counts allow where more than FEW pieces are left, else made once. A branch is cut
+    when the waste so far is more than a packing with one sequence less can have, which also says how full the next bin must
+    be. Each packing found is the new incumbent; the search ends at the lower bound, when all is searched, or after
+    ``nodes`` nodes.
+    """
+    total = sum(s * n for s, n in histogram.items())
+    every = np.array(sorted(histogram, reverse=True), np.int64)
+    best = None
+
+    def branches(counts: np.ndarray, waste: int) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(repetitions, counts of the pieces, waste) of each way to fill the bin of the largest piece."""
+        have = np.flatnonzero(counts)
+        rest = counts[have].copy()
+        rest[0] -= 1
+        room = capacity - int(every[have[0]])
+        spare = (n_best - 1) * capacity - total - waste
+        for filling in fillings(room, every[have], rest, room - spare):
+            need = np.bincount(have[[0, *filling]], minlength=len(every))
+            times = int((counts[need > 0] // need[need > 0]).min()) if counts.sum() > FEW else 1
+            yield times, need, capacity - int((need * every).sum())
+
+    counts = np.array([histogram[int(s)] for s in every], np.int64)
+    path: list[tuple[int, np.ndarray]] = []
+    stack = [(counts, 0, 0, branches(counts, 0))]
+    while stack and nodes:
+        counts, waste, used, ways = stack[-1]
+        step = next(ways, None)
+        if step is None:
+            stack.pop()
+            path = path[: len(stack) - 1] if stack else []
+            continue
+        times, need, own = step
+        nodes -= 1
+        counts, waste, used = counts - times * need, waste + times * own, used + times
+        if waste > (n_best - 1) * capacity - total:
+            continue
+        path = [*path[: len(stack) - 1], (times, need)]
+        if counts.any():
+            stack.append((counts, waste, used, branches(counts, waste)))
+            continue
+        best, n_best = [(t, np.repeat(every, n).tolist()) for t, n in path], used
+        if n_best <= bound:
+            break
+    return best
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(repetitions, lengths in order) of the sequences; every piece of the histogram is in one.
 
-    The best-fit solution is the incumbent; that by completions takes its place if it has fewer sequences.
+    The best-fit solution is the first incumbent, that by the fullest completions the next. If neither meets the lower
+    bound, the search over bins looks for a packing with fewer sequences.
     """
-    best = filled(histogram, capacity, lambda *a: best_fit(*a)[0])
-    if sum(t for t, _ in best) > least_sequences(histogram, capacity):
-        best = min(best, filled(histogram, capacity, completion), key=lambda bins: sum(t for t, _ in bins))
+    size = lambda bins: sum(t for t, _ in bins)
+    histogram = {s: n for s, n in histogram.items() if n}
+    best, bound = filled(histogram, capacity, lambda *a: best_fit(*a)[0]), least_sequences(histogram, capacity)
+    if size(best) > bound:
+        best = min(best, filled(histogram, capacity, completion), key=size)
+    if size(best) > bound:
+        best = improved(histogram, capacity, size(best), bound) or best
     return best
 
 

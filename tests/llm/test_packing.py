@@ -99,7 +99,41 @@ def test_few_pieces_against_all_placements(seed):
     pieces = rng.integers(5, 60, 11).tolist()
     histogram = {int(p): pieces.count(p) for p in set(pieces)}
     got, least = sum(t for t, _ in packing.plan(histogram, 100)), least_bins(pieces, 100)
-    assert packing.least_sequences(histogram, 100) <= least <= got <= least + 1
+    assert packing.least_sequences(histogram, 100) <= least == got
+
+
+def test_bin_completion_beats_best_fit():
+    """Pieces cut from full bins: best fit needs more, the search over bins finds the cut again."""
+    rng, better, proven = np.random.default_rng(11), 0, 0
+    for _ in range(30):
+        pieces = [int(x) for _ in range(8) for x in np.diff([0, *sorted(rng.choice(np.arange(15, 86), 2, replace=False)), 100])]
+        histogram = {p: pieces.count(p) for p in set(pieces)}
+        fit = sum(t for t, _ in packing.filled(histogram, 100, lambda *a: packing.best_fit(*a)[0]))
+        found = packing.improved(histogram, 100, fit, 8)
+        if found is not None:
+            count = defaultdict(int)
+            for times, sizes in found:
+                assert sum(sizes) <= 100
+                for s in sizes:
+                    count[s] += times
+            assert dict(count) == histogram and sum(t for t, _ in found) < fit
+            better += 1
+        proven += sum(t for t, _ in packing.plan(histogram, 100)) == 8
+    assert better >= 10 and proven >= 25
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fillings_are_undominated(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.sort(rng.choice(np.arange(3, 40), 6, replace=False))[::-1].astype(np.int64)
+    counts = rng.integers(1, 3, 6)
+    room = int(rng.integers(30, 80))
+    got = packing.fillings(room, sizes, counts, 0)
+    sums = [sum(int(sizes[k]) for k in f) for f in got]
+    assert got and sums == sorted(sums, reverse=True) and max(sums) == slow_best(room, np.repeat(sizes, counts).tolist())
+    for f, total in zip(got, sums, strict=True):
+        free = [int(sizes[k]) for k in range(6) if counts[k] > f.count(k)]
+        assert all(f.count(k) <= counts[k] for k in range(6)) and all(total + x > room for x in free)
 
 
 def test_plan_holds_every_piece():
