@@ -7,7 +7,8 @@ from quarry.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(registry.SQL[name])
     names = [c[0] for c in want.description]
     df = registry.QUERIES[name](spark, sf)
