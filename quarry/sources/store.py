@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from threading import Event, Thread
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -461,9 +462,21 @@ class Lease:
             self._next(number, 0)
 
     def __enter__(self) -> Lease:
-        return self.acquire()
+        """Held as long as the block runs: it is made longer again and again."""
+        self.acquire()
+        self._done = Event()
+
+        def keep() -> None:
+            while not self._done.wait(self.seconds / 3):
+                self.acquire()
+
+        self._keeper = Thread(target=keep, daemon=True)
+        self._keeper.start()
+        return self
 
     def __exit__(self, *_: object) -> None:
+        self._done.set()
+        self._keeper.join()
         self.release()
 
 

@@ -216,8 +216,10 @@ def test_leases(store):
         Lease(store, "writer", 30, "two").acquire()
     first.acquire()  # longer
     first.release()
-    with Lease(store, "writer", 0.2, "two"):
-        pass
+    with Lease(store, "writer", 0.3, "two"):
+        time.sleep(0.8)  # longer than the lease, which is kept
+        with pytest.raises(Busy):
+            Lease(store, "writer", 30, "three").acquire()
     Lease(store, "writer", 0.2, "dead").acquire()
     with pytest.raises(Busy):
         Lease(store, "writer", 30, "three").acquire()
