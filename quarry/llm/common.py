@@ -56,9 +56,9 @@ class Scratch:
     Plans that read them may run at any time, so the folder goes when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
+    def __init__(self, spark: SparkSession, name: str, collect_every: int = 4) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.collect_every = 0, collect_every
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and returns the table that reads it back."""
@@ -71,7 +71,7 @@ class Scratch:
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         # Spark removes the shuffles of finished steps only when the driver's garbage is collected
-        if self.n % 4 == 0:
+        if self.n % self.collect_every == 0:
             self.spark.sparkContext._jvm.System.gc()
         return out
 

@@ -389,7 +389,7 @@ def similar_components(docs: DataFrame, scratch: Scratch | None = None, block: i
     A null doc_id is a row of its own; component_id is null where no row of the component has one. Rows that share a
     doc_id are one document: what one of them is similar to, all are.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    scratch = scratch or Scratch(docs.sparkSession, "similar", 1)
     rows, by_node = with_roots(docs, scratch, block)
     return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "component_id")
 
@@ -414,7 +414,7 @@ def keep_one(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Of a group without any doc_id one row stays, that with the least hash; a row without doc_id goes if it is in a group
     with one. All columns stay as they are, whatever their names.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "similar")
+    scratch = scratch or Scratch(docs.sparkSession, "similar", 1)
     rows, by_node = with_roots(docs, scratch)
     gone = scratch.save(rows.join(by_node, "node").where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
     row = docs.select(whole_row(docs).alias("row"))
