@@ -123,7 +123,7 @@ def vector_topk_indexed(spark, d):
     points = t.vectors(spark, d)
     index = vector_index.build(points, folder(spark, "vectors"), 64, k=5)
     queries = vector_index.queries_of(points.where("point_id % 50 = 0"), "point_id", "vector", 64)
-    out = vector_index.batch_search(spark, index, queries, 5, exact=True)
+    out = vector_index.batch_search(spark, index, queries, 5, exact=True, digits=6)
     return out.select("query_id", F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 

@@ -56,3 +56,28 @@ def test_an_empty_table(spark, points, tmp_path):
     assert vector_index.search(spark, none, [1.0] * 12, 5).count() == 0
     queries = vector_index.queries_of(points.limit(3), "point_id", "vector", 12)
     assert vector_index.batch_search(spark, none, queries, 5, exact=True).count() == 0
+
+
+def test_shards_pass_on_the_best_only(spark, points, index, monkeypatch):
+    """Not every pair of a point and a query; cells larger than a shard are cut, and the results stay."""
+    asked = points.where("point_id % 37 = 0 and point_id < 9000")
+    queries = vector_index.queries_of(asked, "point_id", "vector", 12)
+    wanted = sorted((r.query_id, r.rank, r.point_id) for r in vector_index.batch_search(spark, index, queries, 10, exact=True).collect())
+    seen, ranked = [], vector_index.ranked
+    monkeypatch.setattr(vector_index, "ranked", lambda hits, *a: seen.append(hits.count()) or ranked(hits, *a))
+    monkeypatch.setattr(vector_index, "SHARD", (60, 60), raising=False)
+    got = vector_index.batch_search(spark, index, queries, 10, exact=True).collect()
+    assert sorted((r.query_id, r.rank, r.point_id) for r in got) == wanted
+    n_shards = vector_index.Dealt(spark, index).n
+    assert n_shards > 3020 / 60 and max(seen) <= 10 * queries.count() * n_shards < 3020 * queries.count()
+
+
+def test_scores_that_round_alike_rank_by_key(spark, tmp_path):
+    """As the query's SQL ranks them: by the score of six digits."""
+    from quarry.plans.catalogue import QUERIES
+
+    vector = lambda c: [float(c), float(np.sqrt(1 - c * c)), *[0.0] * 62]
+    rows = [(0, [1.0, *[0.0] * 63], 1), (1, vector(0.9), 2), (2, vector(0.9000002), 3), (3, vector(0.5), 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["vector_topk_indexed"](spark, str(tmp_path)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1.0), (1, 0.9), (2, 0.9), (3, 0.5)]
