@@ -72,9 +72,9 @@ class Ids:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: many are encoded as one text, which costs far less, and told apart by the ids that end words."""
         out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        parts = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
@@ -86,33 +86,39 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return self._encode([text])[0]
 
-    def __call__(self, text: str) -> bytes:
-        try:
-            if not text.isascii():
+    def _is_plain(self, text: str) -> bool:
+        if not text.isascii():
+            try:
                 text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.whole(text)
-        if _UNSURE.search(text) or any(t in text for t in self.special):
-            return self.whole(text)
-        runs = text.lower().split()  # no word has white space, so what stands between is looked up at once
+            except UnicodeEncodeError:
+                return False
+        return not (_UNSURE.search(text) or any(t in text for t in self.special))
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Runs that are new in any of them are learned at once, before any is put together."""
         known = self.known
-        try:
-            return b"".join([known[r] for r in runs])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn([r for r in dict.fromkeys(runs) if r not in known])
-            return b"".join([known[r] for r in runs])
+        if len(known) > REMEMBERED:
+            known.clear()
+        runs = [t.lower().split() if self._is_plain(t) else None for t in texts]  # no word has white space
+        new: dict[str, None] = {}
+        for own in runs:
+            new.update(dict.fromkeys([r for r in own or () if r not in known]))
+        self._learn(list(new))
+        look = known.__getitem__
+        return [self.whole(t) if own is None else b"".join(map(look, own)) for t, own in zip(texts, runs, strict=True)]
 
     def _learn(self, runs: list[str]) -> None:
         """Remembers the ids of new runs and of the words in them."""
         known = self.known
-        parts = [(r, w) for r in runs if (w := _WORDS.findall(r)) != [r]]
-        words = dict.fromkeys([w for _, ws in parts for w in ws if w not in known])
-        words.update(dict.fromkeys(set(runs).difference(r for r, _ in parts)))
+        words = dict.fromkeys([r for r in runs if r.isalpha()])  # letters alone are one word
+        parts = [(r, _WORDS.findall(r)) for r in runs if not r.isalpha()]
+        words.update(dict.fromkeys([w for _, ws in parts for w in ws if w not in known]))
         new = list(words)
         known.update(zip(new, self._encode_words(new), strict=True))
-        known.update((r, b"".join([known[w] for w in ws])) for r, ws in parts)
+        known.update([(r, b"".join([known[w] for w in ws])) for r, ws in parts if r not in words])
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -124,8 +130,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Da
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                raw = ids(text) + end
+            for doc, raw in zip(column(batch, "doc_id").to_pylist(), ids.many(column(batch, "text").to_pylist()), strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

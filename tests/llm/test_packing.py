@@ -156,3 +156,14 @@ def test_equal_rows_have_salts_of_their_own(spark):
     assert sorted(r.rank for r in rows.select("rank").collect()) == list(range(20_000))
     salt = rows.select(F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(50)).alias("s")).groupBy("s").count()
     assert salt.count() == 50 and salt.agg(F.max("count")).first()[0] < 600
+
+
+def test_a_batch_is_learned_at_once(tokenizer, monkeypatch):
+    """New runs of all texts go to the tokenizer together, not text by text; the ids stay."""
+    texts = ["It's a-b new, word", "", "it's anouwh a-b", "ÀÉ <|endoftext|>", "x²³ ¼ µm ª", "Σς word", *(f"w{k} zq{k}x, 'd{k}" for k in range(600))]
+    ids = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
+    calls, learn = [], ids._encode_words
+    monkeypatch.setattr(ids, "_encode_words", lambda words: calls.append(words) or learn(words))
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [bool(c) for c in calls] == [True, False]
