@@ -141,14 +141,19 @@ def shifted(c: Column, h: Column) -> Column:
     first, letters, rank, start, size = (F.split(F.concat(F.lit(x), none), " ").cast("array<bigint>") for x in _RUNS)
     point = F.ascii(c).cast("bigint")
     runs = F.arrays_zip(first.alias("first"), letters.alias("letters"), rank.alias("rank"), start.alias("start"), size.alias("size"))
-    own = F.filter(runs, lambda r: (r["first"] <= point) & (point < r["first"] + r["letters"]))
 
-    def moved(r: Column) -> Column:
-        to = r["start"] + F.pmod(r["rank"] + point - r["first"] - r["start"] + h, r["size"])
-        at = F.filter(runs, lambda q: (q["rank"] <= to) & (to < q["rank"] + q["letters"]))[0]
-        return F.decode(F.unhex(F.lpad(F.hex(at["first"] + to - at["rank"]), 8, "0")), "UTF-32")
+    def moved(all_runs: Column) -> Column:
+        own = F.filter(all_runs, lambda r: (r["first"] <= point) & (point < r["first"] + r["letters"]))
 
-    return F.coalesce(F.get(F.transform(own, moved), F.lit(0)), c)
+        def one(r: Column) -> Column:
+            to = r["start"] + F.pmod(r["rank"] + point - r["first"] - r["start"] + h, r["size"])
+            at = F.filter(all_runs, lambda q: (q["rank"] <= to) & (to < q["rank"] + q["letters"]))[0]
+            return F.decode(F.unhex(F.lpad(F.hex(at["first"] + to - at["rank"]), 8, "0")), "UTF-32")
+
+        return F.get(F.transform(own, one), F.lit(0))
+
+    # the runs are searched twice, but stand in the plan once
+    return F.coalesce(F.transform(F.array(runs), moved)[0], c)
 
 
 def one_pass(text: Column, alphabets: Column, key: str, tag: Column) -> Column:
@@ -167,8 +172,9 @@ def one_pass(text: Column, alphabets: Column, key: str, tag: Column) -> Column:
 
 
 def cipher(text: Column, alphabets: Column, key: str, tag: Column) -> Column:
-    first = one_pass(text, alphabets, key, tag)
-    return F.reverse(one_pass(F.reverse(first), alphabets, key, F.concat(tag, F.lit("-back"))))
+    """Both passes by one expression, so that the plan holds it once: each pass leaves the text reversed."""
+    tags = F.array(tag, F.concat(tag, F.lit("-back")))
+    return F.aggregate(tags, text, lambda out, t: F.reverse(one_pass(out, alphabets, key, t)))
 
 
 def kind_of(entity: Column) -> Column:
@@ -317,7 +323,7 @@ def pieces(text: Column) -> Column:
 def replaced_texts(docs: DataFrame, key: str | None, scratch: Scratch | None, text_col: str) -> DataFrame:
     """(row, new, n): each row of ``docs`` as a struct, its text with the entities replaced, and their number."""
     spark = docs.sparkSession
-    scratch, key = scratch or Scratch(spark, "pii"), key or key_of(spark)
+    scratch, key = scratch or Scratch(spark, "pii", 1), key or key_of(spark)
     other = clashes(docs, key, scratch, text_col)
     rows = docs.select(whole_row(docs).alias("row"), F.col(text_col).cast("string").alias("text"))
     if other.limit(1).count():

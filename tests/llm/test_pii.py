@@ -226,3 +226,20 @@ def test_the_key_is_the_sessions(spark):
         assert pii.surrogates(docs).first().text == f"to {slow_surrogate('10.0.0.1', 'secret')} now"
     finally:
         spark.conf.unset("spark.quarry.pii.key")
+
+
+def test_the_plan_holds_the_runs_of_letters_once(spark, sf):
+    """Spark's driver copies a plan's text with each change of it, so large literals in it cost a multiple of their size."""
+    plan = pii.replaced(documents(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(x) == 1 for x in pii._RUNS) and len(plan) < 3 * sum(map(len, pii._RUNS))
+
+
+def test_garbage_is_collected_after_each_table(spark, sf, monkeypatch):
+    """Else the driver keeps what the plans of several tables left behind."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: saved.append(1) or save(self, df))
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    before = full()
+    pii.replaced(documents(spark, sf))
+    assert len(saved) >= 3 and full() - before >= len(saved)
